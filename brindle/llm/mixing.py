@@ -86,13 +86,11 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
         F.col("source").alias("__goal_source"),
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(1.0)).alias("__rate"),
     )
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
     whole = F.floor("__rate")
-    copies = (whole + F.when(draw(docs["doc_id"], seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    return (
-        docs.join(goal, docs["source"].eqNullSafe(F.col("__goal_source")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    copies = (whole + F.when(draw(F.col("__id"), seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
+    joined = rows.join(goal, F.col("__source").eqNullSafe(F.col("__goal_source")))
+    return joined.select("__row", F.explode(F.array_repeat(F.lit(1), copies))).select("__row.*")
 
 
 ORACLE_SQL = r"""

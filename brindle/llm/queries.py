@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import language, mixing, packing, secrets, sharding
 from .shared import table
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The production tokenizer: one vocabulary in two libraries' formats."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), **tokenizer_files()))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, sf_dir, "documents"))
 
@@ -18,7 +33,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(sharding.sized(table(spark, sf_dir, "documents")))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op9_sharding)
+    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op9_sharding, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
