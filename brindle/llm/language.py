@@ -48,14 +48,14 @@ def fit(labelled: DataFrame, sample_docs: int = 400, sample_bytes: int = 2048, d
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], block: int = 8192, level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], block: int = 8192, level: int = 6):
         import zstandard as z
 
         self.block, self.languages, self.encoders = block, sorted(dictionaries), []
         for lang in self.languages:
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            self.encoders.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.encoders.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
@@ -72,7 +72,7 @@ class Classifier:
         return self.languages[best], (rest - sizes[best]) / rest
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.004) -> DataFrame:
     """``docs`` with lang_pred, score (the margin) and rejected; columns of these names are replaced."""
     new = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     kept = docs.drop(*new)
