@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, secrets, sharding
+from . import language, minmax, mixing, packing, secrets, sharding
 from .shared import table
 
 
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(sharding.sized(table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op9_sharding, op10_secrets)
+    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op8_minmax, op9_sharding, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
