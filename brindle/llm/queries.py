@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minmax, mixing, packing, secrets, sharding, suffix_tree
+from . import language, minmax, mixing, packing, repeats, secrets, sharding, suffix_tree
 from .shared import table
 
 
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op7_suffix_tree, op8_minmax, op9_sharding, op10_secrets)
+    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op5_repeats, op7_suffix_tree, op8_minmax, op9_sharding, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
