@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .shared import store
 
 FRACTION = 20  # bits; rounds * grains a round * 2**20 stays below 2**63 for 10**14 tokens
+MOST_BROADCAST = 200_000  # rows of four numbers and a source's name
 #: Texts of these characters alone are split alike by both tokenizer libraries; others go to the slower one.
 PLAIN = re.compile(r"[\n\x20-\x7e¡-¬®-ɏΑ-Ωα-ωА-я‘-”]*")
 
@@ -142,6 +143,8 @@ def pack(tokens: DataFrame, window: int = 1024, grain: int = 16, least_share: fl
     base, totals = queues(tokens, least_share)
     if not totals:
         return tokens.sparkSession.createDataFrame([], PIECES)
+    if base.count() <= MOST_BROADCAST:  # partitions times sources of the input; beyond, Spark joins by exchange
+        base = F.broadcast(base)
     plan = Rounds(totals, window, grain)
     joined = tokens.join(base, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source"))).select(
         "doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("before")).alias("first")
