@@ -36,11 +36,12 @@ def letters(text: str | None) -> bytes:
 def fit(labelled: DataFrame, sample_docs: int = 400, sample_bytes: int = 2048, dictionary_bytes: int = 1 << 18, most_languages: int = 64, seed: int = 5) -> dict[str, bytes]:
     """Dictionaries by language from rows (doc_id, text, lang)."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    narrow = rows.select("lang", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("order"), F.substring("text", 1, sample_bytes).alias("some"))
-    # ranks above a limit are dropped before the shuffle, so a task holds sample_docs rows a partition and language
-    sample = narrow.join(F.broadcast(largest), "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
+    narrow = rows.select("lang", "doc_id", (F.xxhash64(F.lit(seed), "doc_id") % 2**40).alias("order"), F.substring("text", 1, sample_bytes).alias("some"))
+    # the smallest hashes lie below this bound, so that about 4 * sample_docs rows a language move
+    below = F.col("order") < (F.lit(8.0 * sample_docs) / F.col("count") - 1) * 2**40
+    sample = narrow.join(F.broadcast(largest), "lang").where(below).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
     found: dict[str, list[bytes]] = {}
     for row in sample.orderBy("lang", "rank").collect():  # at most most_languages * sample_docs texts of sample_bytes
         found.setdefault(row["lang"], []).append(letters(row["some"])[:sample_bytes])
