@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, minmax, mixing, packing, repeats, secrets, sharding, suffix_tree
+from . import hamming, kmeans_tree, language, minmax, mixing, packing, repeats, secrets, sharding, suffix_tree
 from .shared import table
 
 
@@ -29,6 +30,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every embedding whose vec_id is divisible by 100."""
+    found = hamming.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +62,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op5_repeats, op7_suffix_tree, op8_minmax, op9_sharding, op10_secrets)
+    f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_hamming, op5_repeats, op6_kmeans_tree, op7_suffix_tree, op8_minmax, op9_sharding, op10_secrets)
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op4_hamming": hamming.ORACLE_SQL}
