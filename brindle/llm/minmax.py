@@ -6,12 +6,11 @@ band; sets that agree in a band are candidates, and a link holds only if the ful
 
 Equal sets form one vertex.  In a band's bucket every member is compared with the bucket's hub (the member with
 most bucket mates), not with every other; links found so give components.  Only where a bucket still holds
-several components are members outside its largest one compared with the members of the others, unless the
-signatures show them to be far below the threshold.  So a group of thousands of copies costs one comparison a
-member, and no candidate is capped.
+several components are members outside its largest one compared with others, through an exact set-similarity join:
+members without enough shingles that any other has leave, and pairs must share one of their rarest shingles.  So a
+group of thousands of copies costs one comparison a member and few more for its strays, and no candidate is capped.
 
-With 64 permutations and rows of 4, two sets at similarity 0.75 share no band with probability 5e-6, and fall
-under ``far`` with 5e-6.
+With 64 permutations and rows of 4, two sets at similarity 0.75 share no band with probability 5e-6.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; rows that repeat an id
 are one vertex, linked by each of their texts; a row of null id takes no part (component null, kept); an empty
@@ -24,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import store
 from .wordhash import mix, shingle_sets
 
-SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, signature binary"
+SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +62,22 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFrame:
-    """Per row: the set's size, a 128-bit key of the set, its bands and its signature."""
+    """Per row: the set's size, a 128-bit key of the set, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column("text"), size):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 n, keys = np.array([len(s) for s in sets]), np.zeros((2, len(sets)), dtype=np.uint64)
-                band, sig = [None] * len(sets), [None] * len(sets)
+                band = [None] * len(sets)
                 if full:
                     some = [sets[i] for i in full]
-                    signature = signatures(some, permutations)
-                    for i, s, b, x in zip(full, some, bands(signature, rows), signature, strict=True):
+                    for i, s, b in zip(full, some, bands(signatures(some, permutations), rows), strict=True):
                         keys[:, i] = s.sum(), mix(s ^ np.uint64(0x5DEECE66D)).sum()
-                        band[i], sig[i] = b, x.tobytes()
+                        band[i] = b
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "bands", "signature"],
+                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(band, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
@@ -98,10 +96,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(run, "id long, members binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (v, u) of ``pairs`` (each once) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("v", "u")).alias("id")).distinct()
-    sets = store(full_sets(docs, ids, size), "lz4")
     with_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("members").alias("set_v")), "v")
     both = with_v.join(sets.select(F.col("id").alias("u"), F.col("members").alias("set_u")), "u")
 
@@ -122,13 +118,59 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return store(both.select("v", "u", "set_v", "set_u").mapInArrow(run, "v long, u long").distinct())
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, far: float = 0.58) -> DataFrame:
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, shingle) of sets (id, members); text tells the sets of one id apart."""
+    import xxhash
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            raw = [x.as_buffer() for x in some.column("members")]
+            parts = [np.frombuffer(x, dtype=np.int64) for x in raw]
+            names = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], dtype=np.uint64).view(np.int64)
+            n = [len(x) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("id").to_numpy(), n)), pa.array(np.repeat(names, n)), pa.array(np.concatenate(parts))], ["id", "text", "shingle"])
+
+
+SPREAD = "id long, text long, shingle long"
+
+
+def promising(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Those of ``ids`` with enough shingles that another of ``ids`` has too: the others cannot be linked with any."""
+    some = sets.join(ids, "id", "left_semi")
+    only = some.mapInArrow(_spread, SPREAD).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    private = only.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+    sizes = some.groupBy("id").agg((F.min(F.octet_length("members")) / 8).alias("n"), (F.sum(F.octet_length("members")) / 8).alias("all"))
+    return sizes.join(private, "id", "left").where(100 * (F.col("all") - F.coalesce("private", F.lit(0))) >= percent * F.col("n")).select("id")
+
+
+def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (v, u) among ``members`` (id, part, stray) of different parts, one stray at least, that may be linked.
+
+    Sets of n and m shingles are linked only if they share k = ceil(percent * (n + m) / (100 + percent)).  With the
+    shingles of each in one order, rare ones first, such sets share one of the first n - k + 1 and m - k + 1.
+    """
+    rows = store(sets.join(members.select("id"), "id", "left_semi").mapInArrow(_spread, SPREAD), "lz4")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    own = Window.partitionBy("id", "text")
+    placed = rows.join(often, "shingle").select(
+        "id", "shingle", F.row_number().over(own.orderBy("often", "shingle")).alias("at"), F.count(F.lit(1)).over(own).alias("n")
+    )
+    first = store(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).join(members, "id"), "lz4")
+    a, b = first.where("stray").alias("a"), first.alias("b")
+    k = F.expr(f"ceil({percent} * (a.n + b.n) / {100 + percent})")
+    near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.part") != F.col("b.part"))
+    near &= (F.col("a.at") <= F.col("a.n") - k + 1) & (F.col("b.at") <= F.col("b.n") - k + 1)
+    return a.join(b, near).select(F.greatest("a.id", "b.id").alias("v"), F.least("a.id", "b.id").alias("u")).distinct()
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least id reachable by links) and kept (whether that is its own)."""
     signed = store(sign(docs, size, permutations, rows), "lz4")
     active = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     vertex = active.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
     named = active.join(vertex, ["key_a", "key_b"])
-    own = named.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "key_a", "key_b", "bands", "signature")
+    own = named.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "key_a", "key_b", "bands")
     reps = store(own.dropDuplicates(["id", "key_a", "key_b"]), "lz4")
 
     exploded = reps.select("id", F.explode("bands").alias("key"))
@@ -138,22 +180,20 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int
     hub = bucket.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
     ordered = lambda a, b: [F.greatest(a, b).alias("v"), F.least(a, b).alias("u")]
     tried = store(bucket.join(hub, "key").where("id != hub").select(*ordered("id", "hub")).distinct())
-    links = verified(docs, tried, size, percent)
+    sets = store(full_sets(docs, bucket.select("id").distinct(), size), "lz4")
+    links = verified(sets, tried, percent)
     label = components(links)
 
     in_parts = bucket.join(label.select(F.col("v").alias("id"), F.col("u").alias("part")), "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
     per_part = in_parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = per_part.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    members = store(in_parts.join(mixed, "key").join(reps.select("id", "signature"), "id"), "lz4")
-    a, b = members.where("part != main").alias("a"), members.alias("b")
-    at_least = int(far * 2 * permutations)
-    # equal 4-byte values at equal places of two signatures
-    alike = F.expr(f"size(filter(sequence(0, {2 * permutations - 1}), i -> substring(a.signature, 4 * i + 1, 4) = substring(b.signature, 4 * i + 1, 4))) >= {at_least}")
-    crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & alike
-    rest = a.join(b, crossing).select(*ordered("a.id", "b.id")).distinct().join(tried, ["v", "u"], "left_anti")
-    rest = store(rest)
+    crowd = store(in_parts.join(mixed, "key").withColumn("stray", F.col("part") != F.col("main")))
+    likely = store(crowd.join(promising(sets, crowd.select("id").distinct(), percent), "id"))
+    live = likely.where("stray").select("key").distinct()
+    members = store(likely.join(live, "key", "left_semi").groupBy("id", "part").agg(F.max("stray").alias("stray")))
+    rest = store(prefix_pairs(sets, members, percent).join(tried, ["v", "u"], "left_anti"))
     if not rest.isEmpty():
-        label = components(links.union(verified(docs, rest, size, percent)))
+        label = components(links.union(verified(sets, rest, percent)))
 
     found = (
         signed.select("doc_id", "n_shingles", "key_a", "key_b")
