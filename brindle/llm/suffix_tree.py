@@ -18,29 +18,26 @@ trained on; repeated rows count each; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import crc_bucket, store
 
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-END = ""  # no word is empty
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+END = b""  # no word is empty
 ALPHA = 0.1  # of the base distribution
 
 
-def tokens(text: str | None) -> list[str]:
-    """The words, lower-cased in A-Z, and the end."""
-    if not text:
-        return [END]
-    text = text.lower() if text.isascii() else text.translate(LOWER)
-    return [w for w in SPACES.split(text) if w] + [END]
+def tokens(text: str | None) -> list[bytes]:
+    """The words, lower-cased in A-Z, and the end.  Bytes are split at just those six characters."""
+    words = text.encode().translate(LOWER).split() if text else []
+    words.append(END)
+    return words
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -49,7 +46,7 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def frequent(train: DataFrame, least_share: float) -> list[str]:
+def frequent(train: DataFrame, least_share: float) -> list[bytes]:
     """Words that may hold ``least_share`` of all tokens: none with that share is missed.
 
     Such a word holds that share of some partition.  Each partition tells the words that do there, at most
@@ -64,42 +61,47 @@ def frequent(train: DataFrame, least_share: float) -> list[str]:
                 n += len(words)
                 seen.update(words)
         kept = [(w, c) for w, c in seen.items() if c >= least_share * n and w != END]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [END], pa.string()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [END], pa.binary()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
 
-    sums = train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    sums = train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     sums = store(sums)
     total = sums.where(F.col("word") == END).select("c").first()
     if not total:
         return []
     rows = sums.where((F.col("word") != END) & (F.col("c") >= least_share * total[0] / 2)).orderBy(F.desc("c"), "word").collect()
-    return [r["word"] for r in rows]
+    return [bytes(r["word"]) for r in rows]
 
 
-def encode(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Per row: doc_id, held_out, train, n_tokens, ids (int32; len(words) is the end, one more is any other word), other
-    (its other words with their counts)."""
+def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """Per row: row (its number), doc_id, held_out, n_tokens, ids (int32; len(words) is the end, one more is any other
+    word), other (its other words with their counts)."""
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate([*words, END])})
     other_id = len(words) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        from pyspark import TaskContext
+
+        index, row = shared.value, TaskContext.get().partitionId() << 32
         for some in _batches(batches):
             ids, n, other, counts, offsets = [], [], [], [], [0]
             for text in some.column("text").to_pylist():
                 words_ = tokens(text)
                 n.append(len(words_))
-                ids.append(np.array([index.get(w, other_id) for w in words_], dtype="<i4").tobytes())
-                rest = Counter(w for w in words_ if w not in index)
+                known = [index.get(w, other_id) for w in words_]
+                ids.append(np.array(known, dtype="<i4").tobytes())
+                rest = Counter(w for w, i in zip(words_, known, strict=True) if i == other_id)
                 other += rest
                 counts += rest.values()
                 offsets.append(len(other))
-            pairs = pa.StructArray.from_arrays([pa.array(other, pa.string()), pa.array(counts, pa.int64())], ["word", "tf"])
+            pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(counts, pa.int64())], ["word", "tf"])
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
             yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id"), some.column("held_out"), some.column("train"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                ["doc_id", "held_out", "train", "n_tokens", "ids", "other"],
+                [rows, some.column("doc_id"), some.column("held_out"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                ["row", "doc_id", "held_out", "n_tokens", "ids", "other"],
             )
 
-    return store(docs.mapInArrow(run, "doc_id long, held_out boolean, train boolean, n_tokens long, ids binary, other array<struct<word:string,tf:long>>"))
+    return store(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, ids binary, other array<struct<word:binary,tf:long>>"))
 
 
 def _grams(encoded: DataFrame, symbols: int, order: int, contexts: np.ndarray | None = None) -> DataFrame:
@@ -133,10 +135,44 @@ def _grams(encoded: DataFrame, symbols: int, order: int, contexts: np.ndarray |
         if held:
             yield told(held)
 
-    counted = encoded.where("train").select("ids").mapInArrow(run, "context long, next long, c long")
+    counted = encoded.where("not held_out").select("ids").mapInArrow(run, "context long, next long, c long")
     return counted.groupBy("context", "next").agg(F.sum("c").alias("c"))
 
 
+class Lookup:
+    """Places of numbers among given ones: a hash table with open addressing, asked for whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(2 * len(keys), 8).bit_length()
+        self.mask = size - 1
+        self.keys = np.full(size, -1, dtype=np.int64)
+        self.places = np.zeros(size, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot[left]] == -1)
+            taken, which = np.unique(slot[left[free]], return_index=True)
+            placed = free[which]
+            self.keys[taken], self.places[taken] = keys[left[placed]], left[placed]
+            left = np.delete(left, placed)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.mask.bit_length())).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, place)"""
+        found, place = np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
+        open_, slot = np.arange(len(wanted)), self._slots(wanted)
+        while len(open_):
+            there = self.keys[slot]
+            hit = there == wanted[open_]
+            found[open_[hit]] = True
+            place[open_[hit]] = self.places[slot[hit]]
+            on = ~hit & (there != -1)
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+        return found, place
+
+
 class Tree:
     """The model as sorted arrays: states, their back-off mass, and their kept next symbols."""
 
@@ -148,24 +184,26 @@ class Tree:
         self.keys = [none.astype(np.int64)] * 3  # context * symbols + next
         self.logs = [none] * 3
 
-    @staticmethod
-    def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[at] == wanted, at
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def _look(self, what: str, order: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tables = self.__dict__.setdefault("tables", {})  # once a worker, as its broadcast value stays
+        if (what, order) not in tables:
+            tables[what, order] = Lookup(getattr(self, what)[order])
+        return tables[what, order](wanted)
 
     def log10(self, order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 P(symbol | longest state that is a suffix of the context); context: of ``order`` words."""
         if order == 0:
             return self.root[symbol]
         shorter = context % self.symbols
-        state, at = self._look(self.states[order], context)
+        state, at = self._look("states", order, context)
         out = np.empty(len(context))
         rest = np.flatnonzero(~state)
         out[rest] = self.log10(order - 1, shorter[rest], symbol[rest])
         here = np.flatnonzero(state)
-        kept, place = self._look(self.keys[order], context[here] * self.symbols + symbol[here])
+        kept, place = self._look("keys", order, context[here] * self.symbols + symbol[here])
         out[here[kept]] = self.logs[order][place[kept]]
         off = here[~kept]
         out[off] = self.back[order][at[off]] + self.log10(order - 1, shorter[off], symbol[off])
@@ -189,6 +227,7 @@ class Tree:
         self.states[order], self.back[order] = states[good], np.log10(left[good] / rest[good])
         of = np.repeat(good, np.diff(np.append(start, len(context))))
         self.keys[order], self.logs[order] = context[of] * self.symbols + symbol[of], np.log10(p[of])
+        self.__dict__.pop("tables", None)
 
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each text's symbols; texts follow one another in ids, each from its start."""
@@ -215,27 +254,41 @@ def _kept(grams: DataFrame, least: float) -> tuple[np.ndarray, ...]:
     return tuple(rows[k].to_numpy() for k in ("context", "next", "c", "total"))
 
 
-def scores(docs: DataFrame, folds: int = 10, least_share: float = 2e-6, least_next: int = 2, discount: float = 0.5, divergence: float = 8.0) -> DataFrame:
+def other_words(encoded: DataFrame) -> DataFrame:
+    """Per row with other words: the sums over them of tf * log10(c + ALPHA) and of tf where c > 0, c being the word's
+    training count; and how many of them are in training and counted here first, so that their sum is their number.
+
+    No other word is frequent, so no window is large; occurrences move once to their word and once back.
+    """
+    spread = encoded.select("row", "held_out", F.explode("other").alias("o")).select("row", F.when(~F.col("held_out"), F.col("o.tf")).alias("trained"), "o.word", "o.tf")
+    word = Window.partitionBy("word")
+    counted = spread.select("row", "tf", F.coalesce(F.sum("trained").over(word), F.lit(0)).alias("c"), (F.col("row") == F.min("row").over(word)).alias("first"))
+    return store(counted.groupBy("row").agg(
+        F.sum(F.col("tf") * F.log10(F.col("c") + ALPHA)).alias("logs"),
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"),
+        F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("words"),
+    ))
+
+
+def scores(docs: DataFrame, folds: int = 10, least_share: float = 1e-6, least_next: int = 2, discount: float = 0.5, divergence: float = 8.0) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
     fold = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out")).withColumn("train", ~F.col("held_out"))
-    words = frequent(rows.where("train"), least_share)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
+    words = frequent(rows.where("not held_out"), least_share)
     encoded = encode(rows, words)
     symbols = len(words) + 2
 
-    # other words: one row a word and document; a word's training count is joined back to it
-    spread = encoded.select("doc_id", "ids", "train", F.explode("other").alias("o")).select("doc_id", F.xxhash64("ids").alias("h"), "train", "o.word", "o.tf")
-    other_counts = store(spread.where("train").groupBy("word").agg(F.sum("tf").alias("c")))
-    other_n, other_v = other_counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    others = other_words(encoded)
+    other_v = others.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     counts = np.zeros(symbols, dtype=np.int64)
     for r in _symbol_counts(encoded, symbols).collect():
         counts[r["symbol"]] = r["c"]
-    total = int(counts.sum())
+    total, other_n = int(counts.sum()), int(counts[-1])
     known = counts[:-1] > 0
     distinct = int(known.sum()) + other_v
     scale = total + ALPHA * (distinct + 1)
     base = np.log10((counts[:-1] + ALPHA) / scale)
-    other_mass = np.log10(max((other_n + ALPHA * (other_v + 1)) / scale, 1e-300))  # unseen words count as one more word
+    other_mass = float(np.log10((other_n + ALPHA * (other_v + 1)) / scale))  # unseen words count as one more word
 
     tree = Tree(symbols, np.append(base, other_mass))
     least = max(least_next, least_share * total)
@@ -253,29 +306,22 @@ def scores(docs: DataFrame, folds: int = 10, least_share: float = 2e-6, least_ne
             flat = np.concatenate(texts).astype(np.int64)
             starts = np.cumsum([0] + [len(x) for x in texts[:-1]])
             named = flat < len(base_)
-            values = np.where(named, base_[np.minimum(flat, len(base_) - 1)], 0.0)
-            seen = (named & known_[np.minimum(flat, len(base_) - 1)]).astype(np.int64)
+            at = np.minimum(flat, len(base_) - 1)
+            seen = (named & known_[at]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[some.column(k) for k in ("doc_id", "h", "held_out", "n_tokens")], pa.array(np.add.reduceat(seen, starts)), pa.array(np.add.reduceat(values, starts)), pa.array(tree_.score(flat, starts)), pa.array(np.add.reduceat((~named).astype(np.int64), starts))],
-                ["doc_id", "h", "held_out", "n_tokens", "known", "base", "model", "n_other"],
+                [*[some.column(k) for k in ("row", "doc_id", "held_out", "n_tokens")], pa.array(np.add.reduceat(seen, starts)), pa.array(np.add.reduceat(np.where(named, base_[at], 0.0), starts)), pa.array(tree_.score(flat, starts)), pa.array(np.add.reduceat((~named).astype(np.int64), starts))],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "n_other"],
             )
 
-    narrow = encoded.select("doc_id", F.xxhash64("ids").alias("h"), "held_out", "n_tokens", "ids")
-    scored = narrow.mapInArrow(run, "doc_id long, h long, held_out boolean, n_tokens long, known long, base double, model double, n_other long")
-    # a repeated row's other words are counted once here and so are its sums below
-    one_each = spread.drop("train").dropDuplicates(["doc_id", "h", "word"])
-    value = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ALPHA)) / F.lit(scale))
-    sums = one_each.join(other_counts, "word", "left").groupBy("doc_id", "h").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("other_known"), F.sum(F.col("tf") * value).alias("other_base")
-    )
-    joined = scored.alias("s").join(sums.alias("o"), F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.h") == F.col("o.h")), "left")
-    rest = F.coalesce("other_base", F.lit(0.0))
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, n_other long")
+    joined = scored.join(others, "row", "left")
+    rest = F.coalesce("logs", F.lit(0.0)) - F.col("n_other") * F.lit(float(np.log10(scale)))
     return joined.select(
-        "s.doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("other_known", F.lit(0))).cast("long").alias("n_known"),
+        "doc_id", "held_out", "n_tokens",
+        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + rest).alias("base_score"),
-        (F.col("model") + rest - F.col("n_other") * F.lit(float(other_mass))).alias("score"),
+        (F.col("model") + rest - F.col("n_other") * F.lit(other_mass)).alias("score"),
     )
 
 
@@ -290,4 +336,4 @@ def _symbol_counts(encoded: DataFrame, symbols: int) -> DataFrame:
         used = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(c[used])], ["symbol", "c"])
 
-    return encoded.where("train").select("ids").mapInArrow(run, "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("c"))
+    return encoded.where("not held_out").select("ids").mapInArrow(run, "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("c"))
