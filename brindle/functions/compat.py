@@ -52,7 +52,7 @@ def _trunc(x: str, n: str = "0") -> str:
 
 
 def _date_bin(seconds: str, ts: str, origin: str = "TIMESTAMP_NTZ '1970-01-01 00:00:00'") -> str:
-    micros = lambda t: f"unix_micros(CAST({t} AS TIMESTAMP))"
+    micros = lambda t: f"unix_micros(CAST({t} AS TIMESTAMP_LTZ))"
     behind = f"pmod({micros(ts)} - {micros(origin)}, CAST({seconds} AS BIGINT) * 1000000)"
     return f"CAST(timestamp_micros({micros(ts)} - {behind}) AS TIMESTAMP_NTZ)"
 
@@ -81,7 +81,7 @@ EXPRESSIONS: dict[str, Builder] = {
     "regexp_replace": _first_match,
     "date_bin": _date_bin,
     "dow": lambda t: f"(dayofweek({t}) - 1)",
-    "epoch": lambda t: f"(unix_micros(CAST({t} AS TIMESTAMP)) / 1e6)",
+    "epoch": lambda t: f"(unix_micros(CAST({t} AS TIMESTAMP_LTZ)) / 1e6)",
     "sha224": lambda x: f"unhex(sha2({x}, 224))",
     "sha256": lambda x: f"unhex(sha2({x}, 256))",
     "sha384": lambda x: f"unhex(sha2({x}, 384))",

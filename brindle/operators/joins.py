@@ -32,7 +32,7 @@ def interval_join(left: DataFrame, right: DataFrame, same: Column, point: str, l
     An equality on time bins of ``width_seconds`` comes first, so that the join hashes or merges on key and bin and each
     row meets neighbours in time only; a left row is repeated once per bin that its interval touches.
     """
-    seconds = lambda t: F.unix_timestamp(t.cast("timestamp"))
+    seconds = lambda t: F.unix_timestamp(t.cast("timestamp_ltz"))
     bins = F.sequence(F.floor(seconds(low) / width_seconds), F.floor(seconds(high) / width_seconds))
     a = left.withColumn("__bin", F.explode(bins))
     b = right.withColumn("__bin_of", F.floor(seconds(F.col(point)) / width_seconds))

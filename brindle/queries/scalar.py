@@ -26,7 +26,7 @@ ENTRIES: dict[str, Entry] = {
     "fn_regex": sql(f"SELECT p_partkey, REGEXP_COUNT(p_type, '[AEIOU]') AS n, REGEXP_LIKE(p_type, 'TIN|BRASS') AS m, {x('regexp_replace', 'p_type', repr('[AEIOU]'), repr('_'))} AS one, {x('regexp_replace', 'p_type', repr('[AEIOU]'), repr('_'), repr('g'))} AS every FROM {{part}}", "SELECT p_partkey, CAST(LEN(REGEXP_EXTRACT_ALL(p_type, '[AEIOU]')) AS INTEGER) AS n, REGEXP_MATCHES(p_type, 'TIN|BRASS') AS m, REGEXP_REPLACE(p_type, '[AEIOU]', '_') AS one, REGEXP_REPLACE(p_type, '[AEIOU]', '_', 'g') AS every FROM part"),
     "fn_date": sql(f"""
         SELECT o_orderkey, YEAR(o_orderdate) AS y, QUARTER(o_orderdate) AS q, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, {x('dow', 'o_orderdate')} AS w, DAYOFYEAR(o_orderdate) AS doy, CAST(DATE_TRUNC('month', o_orderdate) AS TIMESTAMP_NTZ) AS mon,
-          CAST(CAST(o_orderdate AS DATE) AS STRING) AS dt, o_orderdate + INTERVAL 3 DAYS AS later, UNIX_TIMESTAMP(CAST(o_orderdate AS TIMESTAMP)) AS ep, CAST(MAKE_DATE(YEAR(o_orderdate), 1, 1) AS STRING) AS ny, DATEDIFF(o_orderdate, DATE '1992-01-01') AS dd FROM {{orders}}""", """
+          CAST(CAST(o_orderdate AS DATE) AS STRING) AS dt, o_orderdate + INTERVAL 3 DAYS AS later, UNIX_TIMESTAMP(CAST(o_orderdate AS TIMESTAMP_LTZ)) AS ep, CAST(MAKE_DATE(YEAR(o_orderdate), 1, 1) AS STRING) AS ny, DATEDIFF(o_orderdate, DATE '1992-01-01') AS dd FROM {{orders}}""", """
         SELECT o_orderkey, CAST(YEAR(o_orderdate) AS INTEGER) AS y, CAST(QUARTER(o_orderdate) AS INTEGER) AS q, CAST(MONTH(o_orderdate) AS INTEGER) AS m, CAST(DAY(o_orderdate) AS INTEGER) AS d, CAST(DAYOFWEEK(o_orderdate) AS INTEGER) AS w, CAST(DAYOFYEAR(o_orderdate) AS INTEGER) AS doy, CAST(DATE_TRUNC('month', o_orderdate) AS TIMESTAMP) AS mon,
           CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS dt, o_orderdate + INTERVAL 3 DAYS AS later, CAST(EPOCH(o_orderdate) AS BIGINT) AS ep, CAST(MAKE_DATE(YEAR(o_orderdate), 1, 1) AS VARCHAR) AS ny, CAST(DATE_DIFF('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS dd FROM orders"""),
     "fn_date_bin": sql(f"SELECT event_id, {x('date_bin', '900', 'ts')} AS b, {x('date_bin', '3600', 'ts', 'TIMESTAMP_NTZ ' + repr('2024-01-01 00:10:00'))} AS shifted FROM {{events}}", "SELECT event_id, TIME_BUCKET(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS b, TIME_BUCKET(INTERVAL 60 MINUTE, ts, TIMESTAMP '2024-01-01 00:10:00') AS shifted FROM events"),
