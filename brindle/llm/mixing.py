@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, store
 
 MOST_COPIES = 3
+MOST_BROADCAST = 100_000  # rows of a source's name and a number
 
 
 def words(text: F.Column) -> F.Column:
@@ -79,13 +80,15 @@ def mixture_plan(docs: DataFrame, seed: int = 17) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as its source's rate and its draw say.
 
-    The rates reach the documents as one row per source; only those rows are broadcast, and only if Spark finds
-    them below its threshold.
+    The rates reach the documents as one row per source, broadcast if there are at most MOST_BROADCAST.
     """
     goal = targets(narrow(docs)).select(
         F.col("source").alias("__goal_source"),
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(1.0)).alias("__rate"),
     )
+    goal = store(goal)
+    if goal.count() <= MOST_BROADCAST:  # else the join exchanges the documents
+        goal = F.broadcast(goal)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
     whole = F.floor("__rate")
     copies = (whole + F.when(draw(F.col("__id"), seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
