@@ -206,8 +206,10 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are their class's least id, each id once; columns unchanged."""
-    # components are per id, so one row a dropped id is enough: a semi-join against it moves ids, and text once at most
+    """One row of ``docs`` per class: that of the class's least id.  Of rows that repeat an id one stays; rows of null id do."""
     dropped = classes(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(dropped, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    return left
+    named = docs.where(docs["doc_id"].isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():  # reads ids alone
+        return left
+    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))

@@ -76,7 +76,7 @@ def test_nulls_repeats_and_empty(spark):
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minmax.classes(df).collect())
     assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (None, None, True): 1, (3, 3, True): 1, (4, 4, True): 1, (5, 5, True): 1})
     left = minmax.keep_one(df)
-    assert left.columns == df.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 1, 3, 4, 5]
+    assert left.columns == df.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 3, 4, 5]
     assert minmax.classes(fx.empty(spark)).count() == 0
 
 
