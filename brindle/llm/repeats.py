@@ -4,15 +4,18 @@ A suffix array of all text at once would move every suffix's beginning.  Here on
 
 1. Every ``least``-byte window has an anchor: the smallest hash among its ``KMER``-byte strings.  Equal windows have
    equal anchors.  Each chunk of documents sends its distinct anchors, cut to 32 bits within a bucket; a bucket's
-   task answers with one bit for each: whether another document has it too.
-2. Successive windows of one shared anchor make one string (the bytes they cover).  Equal strings are kept once,
-   with the smallest id that has them; whoever has a larger id loses the whole string.
-3. All strings of an anchor meet in one task, which sorts their suffixes and scans the interval tree for maximal
-   repeats (see :mod:`suffix_array`): all occurrences of a window are there, as its anchor brought it.
-4. An anchor with more than ``most_strings`` distinct strings (a passage in a third of all documents, each time in
-   another place) would outgrow a task: its strings' windows are cut out, and equal windows meet by their hash, where
-   combining before the exchange leaves one row each.
-5. The spans go back to the chunks, where bytes are dropped and the rest is hashed.
+   task answers for each whether another document has it too, and whether very many have.
+2. Successive windows of one shared anchor, up to ``RUN`` of them, make one string (the bytes they cover).  A chunk
+   sends each of its strings once, those for one task together and compressed.
+3. All strings of an anchor meet in one task.  An anchor with several distinct strings has their suffixes sorted and
+   the interval tree scanned for maximal repeats (see :mod:`suffix_array`): all occurrences of a window are there, as
+   its anchor brought it.  One distinct string alone repeats as a whole only.
+4. An anchor of more than ``most_strings`` strings (a passage in a third of all documents, each time in another
+   place) would outgrow a task: its strings' windows are cut out, and equal windows meet by their hash, where combining
+   before the exchange leaves one row each.
+5. The answers go back to the chunks, where bytes are dropped and the rest is hashed.
+
+The chunk table is bucketed by chunk, so that text moves once for all of this.
 
 Defined results: a null text counts as empty; a null doc_id counts as larger than any other, and two of them do not
 precede each other; rows that repeat an id never remove each other's bytes; an empty table gives no rows; other
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, store_bucketed
 from .suffix_array import covered_by_lower
 from .wordhash import column_bytes, mix
 
 KMER = 20
+RUN = 64  # windows of a string at most: periodic text then has few distinct strings
 BLOCK = 1 << 18  # window starts that are held as 8-byte numbers at once
 NO_ID = 2**63 - 1
 _rng = np.random.default_rng(50)
@@ -63,7 +67,7 @@ def anchors(data: np.ndarray, least: int) -> np.ndarray:
 
 
 def strings(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(start, end, key, document) of each run of windows of one anchor; a run ends with its document or its block."""
+    """(start, end, key, document) of each run of windows of one anchor; it ends with its document, its block or at RUN windows."""
     out = []
     document_end = offsets[1:]
     for at in range(0, max(len(data) - least + 1, 0), BLOCK):
@@ -81,7 +85,8 @@ def strings(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
         anchor, place, document = anchor[inside], place[inside], document[inside]
         new = np.ones(len(inside), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])
-        begin = np.flatnonzero(new)
+        since = np.arange(len(inside)) - np.maximum.accumulate(np.where(new, np.arange(len(inside)), 0))
+        begin = np.flatnonzero(since % RUN == 0)
         end = np.append(begin[1:], len(inside)) - 1
         out.append((place[begin], place[end] + least, mix(anchor[begin] + np.uint64(1)), document[begin]))
     if not out:
@@ -96,7 +101,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        part, made, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, made, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         ids: list[np.ndarray] = []
         texts: list[bytes] = []
 
@@ -119,7 +124,8 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if texts:
             yield told()
 
-    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, ids binary, offsets binary, packed binary"), "none")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, ids binary, offsets binary, packed binary")
+    return store_bucketed(rows, "chunk", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,8 +142,9 @@ def _keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key >> np.uint64(32 - bits), return_inverse=True)
 
 
-def shared_anchors(chunks: DataFrame, least: int, bits: int) -> DataFrame:
-    """(chunk, marks): for each bucket with shared anchors one bit per distinct key of the chunk there, in order."""
+def shared_anchors(chunks: DataFrame, least: int, bits: int, most_strings: int) -> DataFrame:
+    """(chunk, marks, n): for each bucket with shared anchors one bit per distinct key of the chunk there, in order, in
+    ``marks``; ``hot`` likewise tells the keys of more than ``most_strings`` strings, where there are any.  n: the bits set."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,127 +156,198 @@ def shared_anchors(chunks: DataFrame, least: int, bits: int) -> DataFrame:
                 lowest, highest = np.full(len(distinct), NO_ID), np.full(len(distinct), -(2**63))
                 np.minimum.at(lowest, place, ids[document])
                 np.maximum.at(highest, place, ids[document])
-                several = lowest < highest
+                # bit 7: several documents; below it the number of strings, at most 127
+                told = np.minimum(np.bincount(place, minlength=len(distinct)), 127).astype(np.uint8) | np.where(lowest < highest, 128, 0).astype(np.uint8)
                 cut = np.searchsorted(distinct >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-                rows = [(b, distinct[i:j].astype("<u4").tobytes(), np.packbits(several[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
+                rows = [(b, distinct[i:j].astype("<u4").tobytes(), told[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["bucket", "chunk", "low", "several"],
+                    ["bucket", "chunk", "low", "told"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
         lows = [np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("low")]
-        several = [np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=len(low)) for x, low in zip(table.column("several"), lows, strict=True)]
-        flat, again = np.concatenate(lows), np.concatenate(several).astype(bool)
+        flat, told = np.concatenate(lows), np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in table.column("told")])
         order = np.argsort(flat)
         ordered = flat[order]
-        twice = ordered[1:] == ordered[:-1]
-        again[order[1:][twice]] = True
-        again[order[:-1][twice]] = True
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        n = np.diff(np.append(begin, len(flat)))
+        again, hot = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
+        again[order] = np.repeat(n > 1, n)
+        again |= told > 127
+        hot[order] = np.repeat(np.add.reduceat((told[order] & 127).astype(np.int64), begin) > most_strings, n)
         cut = np.cumsum([0] + [len(x) for x in lows])
-        marks = [np.packbits(again[i:j]).tobytes() if again[i:j].any() else None for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "marks": pa.array(marks, pa.binary())})
+        pairs = list(zip(cut[:-1], cut[1:], strict=True))
+        bits_of = lambda x: pa.array([np.packbits(x[i:j]).tobytes() if x[i:j].any() else None for i, j in pairs], pa.binary())
+        n_marks = pa.array([int(again[i:j].sum()) for i, j in pairs], pa.int64())
+        out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "marks": bits_of(again), "hot": bits_of(again & hot), "n": n_marks})
         return out.filter(out.column("marks").is_valid())
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, low binary, several binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, marks binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("marks"))
+    sent = chunks.mapInArrow(send, "bucket int, chunk long, low binary, told binary")
+    told = sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, marks binary, hot binary, n long")
+    return store(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks", "hot")).alias("marks"), F.sum("n").alias("n")))
 
 
-OCCURRENCES = "name binary, chunk long, at long, n int, id long, lowest long, key long, bytes binary"
+# A row has one of three things.  runs: per chunk the place (4 bytes), length (2) and string number (4) of each run of a
+# shared anchor.  packed: the strings of a chunk for a task (see _pack).  w: a window of a string of a very frequent
+# anchor, with the string's number (ref), the window's place there (i), and the lowest and highest id that has it.
+FOUND = "chunk long, runs binary, task int, packed binary, ref int, lowest long, highest long, w binary, i int"
+RUNS = np.dtype([("at", "<i4"), ("n", "<u2"), ("ref", "<i4")])
 
 
-def occurrences(chunks: DataFrame, marked: DataFrame, least: int, bits: int) -> DataFrame:
-    """Each string of a shared anchor; name: its 128-bit hash.  Its bytes and lowest id come once a chunk."""
+def _pack(ref: np.ndarray, key: np.ndarray, lowest: np.ndarray, highest: np.ndarray, texts: list[bytes]) -> bytes:
+    """Strings of one chunk for one task: columns after one another, so that they compress."""
+    n = np.array([len(t) for t in texts], dtype="<u2")
+    columns = [np.diff(ref, prepend=0).astype("<i4"), (key & np.uint64(0xFFFFFFFF)).astype("<u4"), np.diff(lowest, prepend=0).astype("<i8"), (highest - lowest).astype("<i8"), n]
+    return b"".join([len(ref).to_bytes(4, "little"), *[c.tobytes() for c in columns], *texts])
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+    for kind in ("<i4", "<u4", "<i8", "<i8", "<u2"):
+        columns.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+        at += columns[-1].nbytes
+    ends = at + np.cumsum(columns[4], dtype=np.int64)
+    lowest = np.cumsum(columns[2])
+    return np.cumsum(columns[0]), columns[1], lowest, lowest + columns[3], [raw[a:b] for a, b in zip((ends - columns[4]).tolist(), ends.tolist(), strict=True)]
+
+
+def strings_of(chunks: DataFrame, marked: DataFrame, least: int, bits: int, tasks: int) -> DataFrame:
+    """The shared strings of each chunk, as FOUND says."""
+    schema = pa.schema([("chunk", pa.int64()), ("runs", pa.binary()), ("task", pa.int32()), ("packed", pa.binary()), ("ref", pa.int32()), ("lowest", pa.int64()), ("highest", pa.int64()), ("w", pa.binary()), ("i", pa.int32())])
+
+    def told(chunk: int, n: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.array([chunk] * n, pa.int64())]
+        arrays += [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in list(schema)[1:]]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for (_, ids, offsets, data), chunk, marks in zip(_open(batch), batch.column("chunk"), batch.column("marks").to_pylist(), strict=True):
+            for (chunk, ids, offsets, data), marks in zip(_open(batch), batch.column("marks").to_pylist(), strict=True):
                 start, end, key, document = strings(data, offsets, least)
                 distinct, place = _keys(key, bits)
                 cut = np.searchsorted(distinct >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-                shared = np.zeros(len(distinct), dtype=bool)
+                flags = np.zeros((2, len(distinct)), dtype=bool)
                 for m in marks:
                     i, j = cut[m["bucket"]], cut[m["bucket"] + 1]
-                    shared[i:j] = np.unpackbits(np.frombuffer(m["marks"], dtype=np.uint8), count=int(j - i))
-                keep = np.flatnonzero(shared[place])
-                raw, first, names, lowest, shown = data.tobytes(), {}, [], [], []
-                owner = ids[document[keep]]
-                for k, (a, b, i) in enumerate(zip(start[keep].tolist(), end[keep].tolist(), owner.tolist(), strict=True)):
-                    name = xxhash.xxh3_128_digest(raw[a:b])
-                    names.append(name)
-                    lowest.append(i)
-                    if (f := first.setdefault(name, k)) == k:
-                        shown.append(raw[a:b])
-                    else:
-                        shown.append(None)
-                        lowest[f] = min(lowest[f], i)
-                for at in range(0, len(keep), 20_000):
-                    some = keep[at : at + 20_000]
-                    cols = [pa.array(names[at : at + 20_000], pa.binary()), pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array(start[some]), pa.array((end[some] - start[some]).astype(np.int32)), pa.array(owner[at : at + 20_000]), pa.array(lowest[at : at + 20_000], pa.int64()), pa.array(key[some].view(np.int64)), pa.array(shown[at : at + 20_000], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["name", "chunk", "at", "n", "id", "lowest", "key", "bytes"])
-
-    return store(chunks.join(marked, "chunk").mapInArrow(run, OCCURRENCES))
-
-
-COVER = "name binary, lowest long, spans array<struct<a:int,b:int>>"
-
-
-def covers(found: DataFrame, least: int, most_strings: int, task_bytes: int) -> DataFrame:
-    """Per distinct string: its lowest id, and the spans that a document of that id loses to one of smaller id."""
-    spark = found.sparkSession
-    distinct = store(found.where(F.col("bytes").isNotNull()).groupBy("name", "key", "bytes").agg(F.min("lowest").alias("lowest")))
-    total = distinct.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
-    large = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_strings")).where(F.col("n_strings") > most_strings).select("key")
+                    for flag, known in zip(flags, (m["marks"], m["hot"]), strict=True):
+                        if known is not None:
+                            flag[i:j] = np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=int(j - i))
+                keep = np.flatnonzero(flags[0][place])
+                raw, refs, first = data.tobytes(), {}, []
+                ref = np.empty(len(keep), dtype=np.int32)
+                for k, (a, b) in enumerate(zip(start[keep].tolist(), end[keep].tolist(), strict=True)):
+                    r = refs.setdefault(raw[a:b], len(refs))
+                    if r == len(first):
+                        first.append(k)
+                    ref[k] = r
+                runs = np.empty(len(keep), dtype=RUNS)
+                runs["at"], runs["n"], runs["ref"] = start[keep], end[keep] - start[keep], ref
+                yield told(chunk, 1, runs=[runs.tobytes()])
+                texts, owner = list(refs), ids[document[keep]]
+                lowest, highest = np.full(len(texts), NO_ID), np.full(len(texts), -(2**63))
+                np.minimum.at(lowest, ref, owner)
+                np.maximum.at(highest, ref, owner)
+                key_of, hot = key[keep[first]], flags[1][place[keep[first]]]
+                cold = np.flatnonzero(~hot)
+                task_of = ((key_of[cold] >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
+                by_task = cold[np.argsort(task_of, kind="stable")]
+                names, starts = np.unique(np.sort(task_of), return_index=True)
+                packed = [pack.compress(_pack(r, key_of[r], lowest[r], highest[r], [texts[x] for x in r.tolist()])) for r in np.split(by_task, starts[1:])] if len(cold) else []
+                yield told(chunk, len(names), task=names, packed=packed)
+                for r in np.flatnonzero(hot).tolist():
+                    n = len(texts[r]) - least + 1
+                    names = [xxhash.xxh3_128_digest(texts[r][i : i + least]) for i in range(n)]
+                    yield told(chunk, n, ref=[r] * n, lowest=[lowest[r]] * n, highest=[highest[r]] * n, w=names, i=list(range(n)))
+
+    return store(chunks.join(marked, "chunk").select("chunk", "ids", "offsets", "packed", "marks").mapInArrow(run, FOUND))
+
+
+ANSWER = "chunk long, ref int, spans array<struct<low:long,a:int,b:int>>"
+
+
+def answers(found: DataFrame, least: int) -> DataFrame:
+    """(chunk, ref, spans): who has an id above ``low`` loses bytes a to b of that string."""
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def scan(table: pa.Table) -> pa.Table:
-        texts = table.column("bytes").to_pylist()
-        low = table.column("lowest").to_numpy()
-        spans = [[{"a": a, "b": b} for a, b in s] for s in covered_by_lower(texts, low, least)]
-        return pa.table([table.column("name"), table.column("lowest"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["name", "lowest", "spans"])
-
-    small = distinct.join(large, "key", "left_anti").withColumn("task", F.pmod("key", F.lit(tasks)))
-    by_array = small.groupBy("task").applyInArrow(scan, COVER)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        import zstandard
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                names, lows, places, hashes = [], [], [], []
-                for name, low, text in zip(some.column("name").to_pylist(), some.column("lowest").to_pylist(), some.column("bytes").to_pylist(), strict=True):
-                    for i in range(len(text) - least + 1):
-                        names.append(name)
-                        lows.append(low)
-                        places.append(i)
-                        hashes.append(xxhash.xxh3_128_digest(text[i : i + least]))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lows, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.binary())], ["name", "lowest", "i", "w"])
-
-    cut = store(distinct.join(large, "key", "left_semi").mapInArrow(windows, "name binary, lowest long, i int, w binary"))
-    least_of = cut.groupBy("w").agg(F.min("lowest").alias("low_w"))
-    lost = cut.join(least_of, "w").groupBy("name", "lowest").agg(
-        F.collect_list(F.when(F.col("low_w") < F.col("lowest"), F.struct(F.col("i").alias("a"), (F.col("i") + least).alias("b")))).alias("spans")
-    )
-    return by_array.union(lost.select("name", "lowest", "spans"))
-
-
-def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 2000, task_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
-    """The chunk table, and (chunk, spans): the bytes to remove there, unmerged."""
+        unpack = zstandard.ZstdDecompressor()
+        parts = [_unpack(unpack.decompress(x.as_py())) for x in table.column("packed")]
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(p[0]) for p in parts])
+        ref, keys, lows, highs = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(t, len(number)) for p in parts for t in p[4]])
+        low, key_of = np.full(len(number), NO_ID), np.empty(len(number), dtype=np.uint32)
+        np.minimum.at(low, of, lows)
+        key_of[of] = keys
+        _, back, n = np.unique(key_of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(n[back] > 1)
+        distinct = list(number)
+        inner: dict[int, list[tuple[int, int]]] = {}
+        if len(several):
+            spans = covered_by_lower([distinct[k] for k in several.tolist()], low[several], least)
+            inner = {k: x for k, x in zip(several.tolist(), spans, strict=True) if x}
+        least_id = low[of]
+        has_inner = np.zeros(len(number), dtype=bool)
+        has_inner[list(inner)] = True
+        keep = np.flatnonzero((highs > least_id) | (has_inner[of] & (lows == least_id)))
+        said = []
+        for row, d, lowest in zip(keep.tolist(), of[keep].tolist(), least_id[keep].tolist(), strict=True):
+            mine = [{"low": lowest, "a": 0, "b": len(distinct[d])}] if highs[row] > lowest else []
+            if d in inner and lows[row] == lowest:  # those with the lowest id lose what smaller ids have in other strings
+                mine += [{"low": lowest - 1, "a": a, "b": b} for a, b in inner[d]]
+            said.append(mine)
+        return pa.table([pa.array(chunk[keep]), pa.array(ref[keep].astype(np.int32)), pa.array(said, kind)], ["chunk", "ref", "spans"])
+
+    by_array = found.where(F.col("packed").isNotNull()).select("chunk", "task", "packed").groupBy("task").applyInArrow(lambda t: scan(t), ANSWER)
+    windows = found.where(F.col("w").isNotNull()).select("chunk", "ref", "highest", "w", "i", "lowest")
+    least_of = windows.groupBy("w").agg(F.min("lowest").alias("low"))
+    lost = windows.join(least_of, "w").where("highest > low").groupBy("chunk", "ref").agg(F.collect_list(F.struct("low", F.col("i").alias("a"), (F.col("i") + least).alias("b"))).alias("spans"))
+    return by_array.union(lost)
+
+
+def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 50_000, task_strings: int = 60_000) -> DataFrame:
+    """The chunk table with what to remove: runs (RUNS) and answers (ref, spans)."""
+    spark = docs.sparkSession
     chunks = chunked(docs, chunk_bytes)
     n = chunks.count()
     bits = min(max(6, (n // 8).bit_length()), 31)  # about two million anchors a bucket
-    marked = shared_anchors(chunks, least, bits)
-    found = occurrences(chunks, marked, least, bits)
-    cover = covers(found, least, most_strings, task_bytes)
-    places = found.select("name", "chunk", "at", "n", "id").join(cover, "name")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    spans = F.when(F.col("id") > F.col("lowest"), whole).otherwise(F.col("spans"))
-    lost = places.select("chunk", "at", spans.alias("s")).where(F.size("s") > 0)
-    per_chunk = lost.groupBy("chunk").agg(F.flatten(F.collect_list(F.transform("s", lambda x: F.struct((F.col("at") + x["a"]).alias("a"), (F.col("at") + x["b"]).alias("b"))))).alias("spans"))
-    return chunks, per_chunk
+    marked = shared_anchors(chunks, least, bits, most_strings)
+    n_marks = marked.agg(F.sum("n")).first()[0] or 0
+    found = strings_of(chunks, marked, least, bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // task_strings)))
+    said = answers(found, least).groupBy("chunk").agg(F.collect_list(F.struct("ref", "spans")).alias("answers"))
+    runs = found.where(F.col("runs").isNotNull()).select("chunk", "runs")
+    return chunks.join(runs, "chunk", "left").join(said, "chunk", "left").select("chunk", "ids", "offsets", "packed", "runs", "answers")
+
+
+def _marks(size: int, ids: np.ndarray, offsets: np.ndarray, runs: bytes | None, answers_: pa.ListScalar) -> np.ndarray:
+    """Which bytes of a chunk go."""
+    change = np.zeros(size + 1, dtype=np.int32)
+    if answers_.is_valid and len(answers_):
+        items = answers_.values
+        spans = items.field("spans")
+        n = np.diff(spans.offsets.to_numpy())
+        ref = np.repeat(items.field("ref").to_numpy(), n)
+        low, a, b = (spans.flatten().field(k).to_numpy() for k in ("low", "a", "b"))
+        order = np.argsort(ref, kind="stable")
+        ref, low, a, b = ref[order], low[order], a[order], b[order]
+        table = np.frombuffer(runs, dtype=RUNS)
+        first, last = np.searchsorted(ref, table["ref"], side="left"), np.searchsorted(ref, table["ref"], side="right")
+        each = last - first
+        run = np.repeat(np.arange(len(table)), each)
+        span = np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
+        at = table["at"].astype(np.int64)
+        owner = ids[np.searchsorted(offsets, at, side="right") - 1]
+        hit = owner[run] > low[span]
+        np.add.at(change, at[run[hit]] + a[span[hit]], 1)
+        np.add.at(change, at[run[hit]] + b[span[hit]], -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -277,17 +355,10 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def digests(docs: DataFrame, least: int = 50, with_text: bool = False, **settings) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the bytes that stay."""
-    chunks, spans = removed(docs, least, **settings)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (_, ids, offsets, data), lost in zip(_open(batch), batch.column("spans"), strict=True):
-                change = np.zeros(len(data) + 1, dtype=np.int32)
-                if lost.is_valid and len(lost):
-                    pairs = lost.values
-                    np.add.at(change, pairs.field("a").to_numpy(), 1)
-                    np.add.at(change, pairs.field("b").to_numpy(), -1)
-                keep = np.cumsum(change[:-1]) <= 0
+            for (_, ids, offsets, data), runs, said in zip(_open(batch), batch.column("runs").to_pylist(), batch.column("answers"), strict=True):
+                keep = ~_marks(len(data), ids, offsets, runs, said)
                 rows = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     k = keep[a:b]
@@ -302,4 +373,4 @@ def digests(docs: DataFrame, least: int = 50, with_text: bool = False, **setting
                     cols, names = [*cols, pa.array(left, pa.binary())], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return chunks.join(spans, "chunk", "left").select("chunk", "ids", "offsets", "packed", "spans").mapInArrow(run, DIGEST + (", kept binary" if with_text else ""))
+    return removed(docs, least, **settings).mapInArrow(run, DIGEST + (", kept binary" if with_text else ""))

@@ -42,6 +42,15 @@ def store(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As :func:`store`, in hash buckets of ``column``: joins on it then leave these rows where they are."""
+    spark, name = df.sparkSession, f"brindle_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a scratch table that no later plan reads."""
     spark = df.sparkSession
