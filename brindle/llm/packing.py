@@ -50,7 +50,7 @@ def byte_bpe(json_path: str, ranks_path: str | None = None, pattern: str | None
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if "<|" not in text and PLAIN.fullmatch(text):
+        if "<|" not in text and (text.replace("\n", " ").isprintable() if text.isascii() else PLAIN.fullmatch(text)):
             return fast.encode_to_numpy(text, disallowed_special=())
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -100,23 +100,30 @@ class Rounds:
         quota = self.grain * ((rounds[:, None] * self.credit[None, :]) >> FRACTION)
         return np.where(rounds[:, None] >= self.rounds, self.totals, np.minimum(quota, self.totals))
 
-    def round_of(self, queue: int, token: np.ndarray) -> np.ndarray:
-        """The round in which a token of the queue is sent."""
-        credit = int(self.credit[queue])
-        if not credit:
-            return np.full(len(token), self.rounds - 1)
-        return np.minimum(-(-((token // self.grain + 1) << FRACTION) // credit) - 1, self.rounds - 1)
-
-    def segments(self, queue: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start in the document, length, place in the stream) of the runs a document's n tokens fall into."""
-        a, b = self.round_of(queue, np.array([first, first + n - 1]))
-        rounds = np.arange(a, b + 2)
-        sent = self.sent(rounds)
-        ends = np.clip(sent[:, queue], first, first + n)
-        ends[0], ends[-1] = first, first + n
-        place = sent[:-1].sum(axis=1) + (sent[1:, :queue] - sent[:-1, :queue]).sum(axis=1) + ends[:-1] - sent[:-1, queue]
-        full = np.flatnonzero(ends[1:] > ends[:-1])
-        return ends[:-1][full] - first, (ends[1:] - ends[:-1])[full], place[full]
+    def round_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The round in which each token of each queue is sent."""
+        credit = self.credit[queue]
+        found = -(-((token // self.grain + 1) << FRACTION) // np.maximum(credit, 1)) - 1
+        return np.where(credit > 0, np.minimum(found, self.rounds - 1), self.rounds - 1)
+
+    def segments(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs that documents' tokens fall into, for documents of ``n`` tokens of which ``first`` come before in
+        their queues: (document, start in it, length, place in the stream)."""
+        a, b = self.round_of(queue, first), self.round_of(queue, first + n - 1)
+        each = b - a + 1
+        of = np.repeat(np.arange(len(n)), each)
+        rounds = a[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+        sent, taken = self.sent(rounds), self.sent(rounds + 1)
+        own = queue[of]
+        row = np.arange(len(of))
+        begun, ended = sent[row, own], taken[row, own]
+        taken -= sent
+        before = np.where(np.arange(len(self.totals))[None, :] < own[:, None], taken, 0).sum(axis=1)
+        start = np.where(rounds == a[of], first[of], np.maximum(begun, first[of]))
+        end = np.where(rounds == b[of], (first + n)[of], np.minimum(ended, (first + n)[of]))
+        place = sent.sum(axis=1) + before + start - begun
+        full = np.flatnonzero(end > start)
+        return of[full], (start - first[of])[full], (end - start)[full], place[full]
 
 
 def queues(tokens: DataFrame, least_share: float) -> tuple[DataFrame, list[int]]:
@@ -152,29 +159,25 @@ def pack(tokens: DataFrame, window: int = 1024, grain: int = 16, least_share: fl
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                out, crcs = [], []
-                row = zip(some.column("n").to_pylist(), some.column("ids"), some.column("queue").to_pylist(), some.column("first").to_pylist(), strict=True)
-                for k, (n, ids, queue, first) in enumerate(row):
-                    start, length, place = plan.segments(queue, first, n)
-                    # split where a window ends inside a segment
-                    over = (place + length - 1) // window - place // window
-                    owner = np.repeat(np.arange(len(start)), over + 1)
-                    step = np.arange(len(owner)) - np.repeat(np.cumsum(over + 1) - over - 1, over + 1)
-                    edge = np.where(step == 0, place[owner], (place[owner] // window + step) * window)
-                    until = np.minimum((edge // window + 1) * window, place[owner] + length[owner])
-                    s = start[owner] + edge - place[owner]
-                    raw = ids.as_buffer()
-                    tokens_ = memoryview(np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes())
-                    crcs += [zlib.crc32(tokens_[4 * a : 4 * b]) for a, b in zip(s.tolist(), (s + until - edge).tolist(), strict=True)]
-                    out.append((np.full(len(s), k), s, until - edge, edge))
-                if not out:
-                    continue
-                k, s, length, edge = (np.concatenate(x) for x in zip(*out, strict=True))
-                take = pa.array(k)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                n = some.column("n").to_numpy()
+                of, start, length, place = plan.segments(some.column("queue").to_numpy().astype(np.int64), some.column("first").to_numpy(), n)
+                # split where a window ends inside a segment
+                over = (place + length - 1) // window - place // window
+                owner = np.repeat(np.arange(len(of)), over + 1)
+                step = np.arange(len(owner)) - np.repeat(np.cumsum(over + 1) - over - 1, over + 1)
+                edge = np.where(step == 0, place[owner], (place[owner] // window + step) * window)
+                size = np.minimum((edge // window + 1) * window, (place + length)[owner]) - edge
+                start, document = start[owner] + edge - place[owner], of[owner]
+                raw = [x.as_buffer() for x in some.column("ids")]
+                ids = np.concatenate([np.frombuffer(x, dtype="<u2" if len(x) == 2 * k else "<u4").astype("<u4") for x, k in zip(raw, n.tolist(), strict=True)])
+                data = memoryview(ids.tobytes())
+                begin = 4 * ((np.cumsum(n) - n)[document] + start)
+                crcs = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * size).tolist(), strict=True)]
+                take = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id").take(take), pa.array(s), pa.array(length), pa.array(crcs, pa.int64()), some.column("n").take(take), pa.array(edge // window), pa.array(edge % window), some.column("source").take(take)],
+                    [some.column("doc_id").take(take), pa.array(start), pa.array(size), pa.array(crcs, pa.int64()), some.column("n").take(take), pa.array(edge // window), pa.array(edge % window), some.column("source").take(take)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
