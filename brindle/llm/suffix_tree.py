@@ -46,20 +46,37 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def frequent(train: DataFrame, least_share: float) -> list[bytes]:
+def frequent(train: DataFrame, least_share: float, most_counted: int = 1_000_000) -> list[bytes]:
     """Words that may hold ``least_share`` of all tokens: none with that share is missed.
 
-    Such a word holds that share of some partition.  Each partition tells the words that do there, at most
-    1 / least_share; of their sums those of half the share are kept.
+    Such a word holds that share of some partition.  Each partition tells the words that may do there, counts never
+    being too low (beyond ``most_counted`` words it drops the rarest); of their sums those of half the share are kept.
+    Exact counts of these come later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
+        seen: dict[bytes, int] = {}
+        part, in_part, n, parts = Counter(), 0, 0, 0
+
+        def merge() -> None:
+            """Lossy counting: a word that comes in after k parts may have had k occurrences before that were dropped."""
+            nonlocal seen, parts
+            for w, c in part.items():
+                seen[w] = seen.get(w, parts) + c
+            parts += 1
+            if len(seen) > most_counted:
+                seen = {w: c for w, c in seen.items() if c > parts}
+
         for some in _batches(batches):
             for text in some.column("text").to_pylist():
                 words = tokens(text)
+                in_part += len(words)
                 n += len(words)
-                seen.update(words)
+                part.update(words)
+            if in_part > 2 / least_share:
+                merge()
+                part, in_part = Counter(), 0
+        merge()
         kept = [(w, c) for w, c in seen.items() if c >= least_share * n and w != END]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [END], pa.binary()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
 

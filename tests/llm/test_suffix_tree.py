@@ -42,6 +42,12 @@ def test_contexts_that_tell_the_next_word_raise_scores(spark):
     assert all(r["score"] > 0.2 * r["base_score"] for r in got if r["held_out"])
 
 
+def test_frequent_words_survive_dropped_counts(spark):
+    rows = [(i, f"{'often ' * 3}rare{i} some{i % 40} x{i}a x{i}b", "en", "s", 1) for i in range(400)]
+    got = suffix_tree.frequent(spark.createDataFrame(rows, fx.COLUMNS).coalesce(1), 0.004, most_counted=50)
+    assert b"often" in got and len(got) <= 500
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(2)
     symbols = 7
