@@ -6,6 +6,7 @@ Everything stays inside the JVM's expressions: no Python function runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -41,6 +42,24 @@ def _first_match(s: str, pattern: str, by: str, flags: str = "''") -> str:
     return f"CASE WHEN {flags} LIKE '%g%' THEN regexp_replace({s}, {inner}, {groups}) WHEN {found} = 0 THEN {s} ELSE {one} END"
 
 
+def _match(s: str, pattern: str, flags: str = "''") -> str:
+    """The first match's groups, or the match itself where a literal pattern has none."""
+    text = pattern[1:-1].replace("\\\\", "\\") if pattern[:1] == pattern[-1:] == "'" else ""
+    n = re.compile(text).groups
+    inner = f"if({flags} LIKE '%i%', concat('(?i)', {pattern}), {pattern})"
+    parts = [f"regexp_extract({s}, {inner}, {i})" for i in (range(1, n + 1) if n else [0])]
+    return f"if(regexp_like({s}, {inner}), array({', '.join(parts)}), NULL)"
+
+
+def _digest(x: str, kind: str) -> str:
+    name = kind.strip("'").lower()
+    if name == "md5":
+        return f"unhex(md5({x}))"
+    if name not in ("sha224", "sha256", "sha384", "sha512"):
+        raise ValueError(f"digest {name} is not supported")
+    return f"unhex(sha2({x}, {name[3:]}))"
+
+
 def _gcd(a: str, b: str) -> str:
     step = "if(t.b = 0, t, named_struct('a', t.b, 'b', t.a % t.b))"
     return f"aggregate(sequence(1, 92), named_struct('a', abs(CAST({a} AS BIGINT)), 'b', abs(CAST({b} AS BIGINT))), (t, i) -> {step}, t -> t.a)"
@@ -77,11 +96,14 @@ EXPRESSIONS: dict[str, Builder] = {
     "lcm": lambda a, b: f"CASE WHEN ({a}) = 0 OR ({b}) = 0 THEN CAST(0 AS BIGINT) ELSE abs(CAST({a} AS BIGINT) * ({b})) div {_gcd(a, b)} END",
     "iszero": lambda x: f"(({x}) = 0)",
     "to_hex": lambda x: f"lower(hex({x}))",
-    "regexp_match": lambda s, p: f"if(regexp_like({s}, {p}), if(size(regexp_extract_all({s}, concat('(', {p}, ')'), 2)) >= 0, slice(transform(regexp_extract_all({s}, concat('(', {p}, ')'), 2), x -> x), 1, 1), NULL), NULL)",
+    "regexp_match": lambda *a: _match(*a),
     "regexp_replace": _first_match,
     "date_bin": _date_bin,
     "dow": lambda t: f"(dayofweek({t}) - 1)",
     "epoch": lambda t: f"(unix_micros(CAST({t} AS TIMESTAMP_LTZ)) / 1e6)",
+    "digest": _digest,
+    "to_timestamp_nanos": lambda x: f"timestamp_micros(({x}) div 1000)",
+    "to_local_time": lambda t: f"CAST({t} AS TIMESTAMP_NTZ)",
     "sha224": lambda x: f"unhex(sha2({x}, 224))",
     "sha256": lambda x: f"unhex(sha2({x}, 256))",
     "sha384": lambda x: f"unhex(sha2({x}, 384))",
@@ -118,6 +140,13 @@ EXPRESSIONS: dict[str, Builder] = {
     "approx_percentile_cont_with_weight": lambda x, w, p: f"percentile({x}, {p}, {w})",
     "nanvl": lambda x, y: f"nanvl({x}, {y})",
 }
+#: Array functions have a second name each.
+EXPRESSIONS |= {"list_" + n[6:]: f for n, f in EXPRESSIONS.items() if n.startswith("array_") and "list_" + n[6:] not in EXPRESSIONS}
+EXPRESSIONS |= {
+    f"list_{n}": (lambda *a, f=f"array_{n}": f"{f}({', '.join(a)})")
+    for n in ("append", "prepend", "position", "union", "intersect", "except", "join", "repeat", "contains", "distinct", "sort")
+    if f"list_{n}" not in EXPRESSIONS
+}
 #: Type names of the columnar format and their Spark types; unsigned types take the next wider one.
 ARROW_TYPES = {
     "Boolean": "BOOLEAN", "Int8": "TINYINT", "Int16": "SMALLINT", "Int32": "INT", "Int64": "BIGINT", "UInt8": "SMALLINT", "UInt16": "INT",

@@ -61,7 +61,7 @@ def table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def information_schema(spark: SparkSession, schemas: list[str]) -> dict[str, DataFrame]:
-    """tables, views, columns and schemata as the session's catalog has them now; system tables stay hidden."""
+    """tables, views, columns, schemata, df_settings and routines as the session's catalog has them now; system tables stay hidden."""
     tables, views, columns = [], [], []
     for schema in schemas:
         for t in spark.catalog.listTables(schema):
@@ -78,5 +78,7 @@ def information_schema(spark: SparkSession, schemas: list[str]) -> dict[str, Dat
         "tables": spark.createDataFrame(tables, base + "table_type STRING"),
         "views": spark.createDataFrame(views, base + "definition STRING"),
         "columns": spark.createDataFrame(columns, base + "column_name STRING, ordinal_position BIGINT, column_default STRING, is_nullable STRING, data_type STRING"),
+        "df_settings": spark.createDataFrame([(r["key"], r["value"]) for r in spark.sql("SET").collect()], "name STRING, value STRING"),
+        "routines": spark.createDataFrame([(CATALOG, SCHEMA, f.name, "FUNCTION") for f in spark.catalog.listFunctions()], "routine_catalog STRING, routine_schema STRING, routine_name STRING, routine_type STRING"),
         "schemata": spark.createDataFrame([(CATALOG, s, None) for s in [*schemas, "information_schema"]], "catalog_name STRING, schema_name STRING, schema_owner STRING"),
     }
