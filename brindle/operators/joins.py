@@ -8,22 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, take: Sequence[str], tie_break: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, take: Sequence[str], tie_break: str | None = None, bin_width: float | None = None) -> DataFrame:
     """Each left row with the columns ``take`` of the last right row of its key at or before its time (else nulls).
 
-    Both sides go through one exchange by key and one sort, and a running last non-null value: no pair of rows is made,
-    whatever the number of right rows a left row could match.
+    Both sides go through one exchange and one sort, and a running last non-null value: no pair of rows is made, whatever
+    the number of right rows a left row could match.  With ``bin_width`` (seconds, or units of a numeric time) a key's
+    rows are dealt by time bin as well, so that a key with a third of all rows is many tasks' work; a window over one row
+    per key and bin carries the last value from bin to bin.
     """
     columns = left.columns
     none = [F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in take]
     tie = F.col(tie_break) if tie_break else F.lit(None)
     tie_type = right.schema[tie_break].dataType if tie_break else "int"
-    a = left.select(F.col(on).alias("__on"), F.col(left_time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.struct(*columns).alias("__row"), F.lit(False).alias("__is"), *none)
-    b = right.select(F.col(on).alias("__on"), F.col(right_time).alias("__at"), F.lit(0).alias("__side"), tie.cast(tie_type).alias("__tie"), F.lit(None).cast(left.select(F.struct(*columns).alias("r")).schema["r"].dataType).alias("__row"), F.lit(True).alias("__is"), *[F.col(c).alias(f"__{c}") for c in take])
+    row_type = left.select(F.struct(*columns).alias("r")).schema["r"].dataType
+    a = left.select(F.col(on).alias("__on"), F.col(left_time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.struct(*columns).alias("__row"), *none)
+    b = right.select(F.col(on).alias("__on"), F.col(right_time).alias("__at"), F.lit(0).alias("__side"), tie.cast(tie_type).alias("__tie"), F.lit(None).cast(row_type).alias("__row"), *[F.col(c).alias(f"__{c}") for c in take])
+    rows = a.unionByName(b).withColumn("__taken", F.when(F.col("__side") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in take])))
+    keys = ["__on"]
+    if bin_width is not None:
+        number = F.col("__at") if dict(rows.dtypes)["__at"] in ("int", "bigint", "double", "float", "smallint") else F.unix_micros(F.col("__at").cast("timestamp_ltz")) / 1e6
+        rows = rows.withColumn("__bin", F.floor(number / bin_width))
+        keys.append("__bin")
     # on equal times right rows come first; among them the largest tie break is the last
-    order = Window.partitionBy("__on").orderBy("__at", "__side", F.asc_nulls_first("__tie")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).withColumn("__last", F.last(F.when(F.col("__is"), F.struct(*[F.col(f"__{c}").alias(c) for c in take])), ignorenulls=True).over(order))
-    return filled.where("__side = 1").select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in take])
+    order = Window.partitionBy(*keys).orderBy("__at", "__side", F.asc_nulls_first("__tie")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("__last", F.last("__taken", ignorenulls=True).over(order)).where("__side = 1")
+    if bin_width is not None:
+        at = F.when(F.col("__side") == 0, F.struct("__at", "__tie"))
+        ends = rows.groupBy("__on", "__bin").agg(F.max_by("__taken", at).alias("__end"))
+        before = Window.partitionBy("__on").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("__on").alias("__c_on"), F.col("__bin").alias("__c_bin"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+        filled = filled.join(carried, F.col("__on").eqNullSafe(F.col("__c_on")) & F.col("__bin").eqNullSafe(F.col("__c_bin")), "left")
+        filled = filled.withColumn("__last", F.coalesce("__last", "__carried"))
+    return filled.select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in take])
 
 
 def interval_join(left: DataFrame, right: DataFrame, same: Column, point: str, low: Column, high: Column, width_seconds: int, how: str = "inner") -> DataFrame:

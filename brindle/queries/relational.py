@@ -14,7 +14,7 @@ MONEY = "CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount
 def _asof(customer_orders, events):
     left = events.select("event_id", "user_id", "ts")
     right = customer_orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate"), "o_orderkey")
-    return asof_join(left, right, on="user_id", left_time="ts", right_time="o_orderdate", take=["o_orderkey"], tie_break="o_orderkey").select("event_id", F.col("o_orderkey").alias("last_order"))
+    return asof_join(left, right, on="user_id", left_time="ts", right_time="o_orderdate", take=["o_orderkey"], tie_break="o_orderkey", bin_width=90 * 86400).select("event_id", F.col("o_orderkey").alias("last_order"))
 
 
 def _interval(events):

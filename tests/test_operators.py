@@ -67,11 +67,14 @@ def test_log_numbers_ranges_and_frames(spark):
     assert [r["d"]["state"] for r in bad.select(log.decode(F.col("f")).alias("d")).collect()] == ["ok", "torn", "torn", "corrupt"]
 
 
-def test_asof_takes_the_last_at_or_before(spark):
+@pytest.mark.parametrize("bin_width", [None, 2, 100])
+def test_asof_takes_the_last_at_or_before(spark, bin_width):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9), (3, 4)], "k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c"), (3, 4, None)], "k int, at int, v string")
-    got = sorted((r["k"], r["t"], r["v"]) for r in asof_join(left, right, "k", "t", "at", ["v"], tie_break="v").collect())
+    got = sorted((r["k"], r["t"], r["v"]) for r in asof_join(left, right, "k", "t", "at", ["v"], tie_break="v", bin_width=bin_width).collect())
     assert got == [(1, 1, None), (1, 5, "b"), (2, 9, None), (3, 4, None)]
+    later = spark.createDataFrame([(1, t) for t in range(4, 30, 5)], "k int, t int")
+    assert [r["v"] for r in sorted(asof_join(later, right, "k", "t", "at", ["v"], bin_width=bin_width).collect())] == ["a", "b", "b", "b", "b", "b"]
 
 
 @pytest.mark.parametrize(("value", "want"), [(1.0, "1"), (1e20, "100000000000000000000"), (0.1, "0.1"), (1e-7, "0.0000001"), (math.nan, "NaN"), (-math.inf, "-inf"), (True, "t"), (None, None), ([1, None], "{1,NULL}"), (b"\x01", "\\x01")])
