@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store, store_bucketed
+from .shared import release, store, store_bucketed
 from .suffix_array import covered_by_lower
 from .wordhash import column_bytes, mix
 
@@ -129,12 +129,14 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The chunks of a batch, one after another."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
     for chunk, ids, offsets, packed in zip(*[batch.column(k) for k in ("chunk", "ids", "offsets", "packed")], strict=True):
         data = np.frombuffer(unpack.decompress(packed.as_py()), dtype=np.uint8)
         yield chunk.as_py(), np.frombuffer(ids.as_py(), dtype=np.int64), np.frombuffer(offsets.as_py(), dtype=np.int64), data
+    release()
 
 
 def _keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +190,12 @@ def shared_anchors(chunks: DataFrame, least: int, bits: int, most_strings: int)
     return store(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks", "hot")).alias("marks"), F.sum("n").alias("n")))
 
 
-# A row has one of three things.  runs: per chunk the place (4 bytes), length (2) and string number (4) of each run of a
-# shared anchor.  packed: the strings of a chunk for a task (see _pack).  w: a window of a string of a very frequent
-# anchor, with the string's number (ref), the window's place there (i), and the lowest and highest id that has it.
-FOUND = "chunk long, runs binary, task int, packed binary, ref int, lowest long, highest long, w binary, i int"
+# A row has either.  runs: per chunk the place (4 bytes), length (2) and string number (4) of each run of a shared anchor;
+# they pass through a task to meet the answers.  packed: the strings of a chunk for a task (see _pack).
+SENT = "chunk long, task int, runs binary, packed binary"
+# A window of a string of a very frequent anchor: the string's number (ref), the window's place there (i) and hash (w),
+# and the lowest and highest id that has it in the chunk.
+WINDOWS = "chunk long, ref int, lowest long, highest long, w binary, i int"
 RUNS = np.dtype([("at", "<i4"), ("n", "<u2"), ("ref", "<i4")])
 
 
@@ -212,77 +216,99 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return np.cumsum(columns[0]), columns[1], lowest, lowest + columns[3], [raw[a:b] for a, b in zip((ends - columns[4]).tolist(), ends.tolist(), strict=True)]
 
 
-def strings_of(chunks: DataFrame, marked: DataFrame, least: int, bits: int, tasks: int) -> DataFrame:
-    """The shared strings of each chunk, as FOUND says."""
-    schema = pa.schema([("chunk", pa.int64()), ("runs", pa.binary()), ("task", pa.int32()), ("packed", pa.binary()), ("ref", pa.int32()), ("lowest", pa.int64()), ("highest", pa.int64()), ("w", pa.binary()), ("i", pa.int32())])
+class _Strings:
+    """The distinct strings of a chunk's shared anchors, numbered in order of their first places."""
+
+    def __init__(self, data: np.ndarray, ids: np.ndarray, offsets: np.ndarray, marks: list[dict], least: int, bits: int):
+        start, end, key, document = strings(data, offsets, least)
+        distinct, place = _keys(key, bits)
+        cut = np.searchsorted(distinct >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+        flags = np.zeros((2, len(distinct)), dtype=bool)
+        for m in marks:
+            i, j = cut[m["bucket"]], cut[m["bucket"] + 1]
+            for flag, known in zip(flags, (m["marks"], m["hot"]), strict=True):
+                if known is not None:
+                    flag[i:j] = np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=int(j - i))
+        keep = np.flatnonzero(flags[0][place])
+        raw, refs, first = data.tobytes(), {}, []
+        ref = np.empty(len(keep), dtype=np.int32)
+        for k, (a, b) in enumerate(zip(start[keep].tolist(), end[keep].tolist(), strict=True)):
+            r = refs.setdefault(raw[a:b], len(refs))
+            if r == len(first):
+                first.append(k)
+            ref[k] = r
+        self.runs = np.empty(len(keep), dtype=RUNS)
+        self.runs["at"], self.runs["n"], self.runs["ref"] = start[keep], end[keep] - start[keep], ref
+        self.texts, owner = list(refs), ids[document[keep]]
+        self.lowest, self.highest = np.full(len(refs), NO_ID), np.full(len(refs), -(2**63))
+        np.minimum.at(self.lowest, ref, owner)
+        np.maximum.at(self.highest, ref, owner)
+        self.key, self.hot = key[keep[first]], flags[1][place[keep[first]]]
+
 
-    def told(chunk: int, n: int, **columns) -> pa.RecordBatch:
-        arrays = [pa.array([chunk] * n, pa.int64())]
-        arrays += [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in list(schema)[1:]]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def strings_of(chunks: DataFrame, marked: DataFrame, least: int, bits: int, tasks: int) -> DataFrame:
+    """SENT: what each chunk sends to the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for (chunk, ids, offsets, data), marks in zip(_open(batch), batch.column("marks").to_pylist(), strict=True):
-                start, end, key, document = strings(data, offsets, least)
-                distinct, place = _keys(key, bits)
-                cut = np.searchsorted(distinct >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-                flags = np.zeros((2, len(distinct)), dtype=bool)
-                for m in marks:
-                    i, j = cut[m["bucket"]], cut[m["bucket"] + 1]
-                    for flag, known in zip(flags, (m["marks"], m["hot"]), strict=True):
-                        if known is not None:
-                            flag[i:j] = np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=int(j - i))
-                keep = np.flatnonzero(flags[0][place])
-                raw, refs, first = data.tobytes(), {}, []
-                ref = np.empty(len(keep), dtype=np.int32)
-                for k, (a, b) in enumerate(zip(start[keep].tolist(), end[keep].tolist(), strict=True)):
-                    r = refs.setdefault(raw[a:b], len(refs))
-                    if r == len(first):
-                        first.append(k)
-                    ref[k] = r
-                runs = np.empty(len(keep), dtype=RUNS)
-                runs["at"], runs["n"], runs["ref"] = start[keep], end[keep] - start[keep], ref
-                yield told(chunk, 1, runs=[runs.tobytes()])
-                texts, owner = list(refs), ids[document[keep]]
-                lowest, highest = np.full(len(texts), NO_ID), np.full(len(texts), -(2**63))
-                np.minimum.at(lowest, ref, owner)
-                np.maximum.at(highest, ref, owner)
-                key_of, hot = key[keep[first]], flags[1][place[keep[first]]]
-                cold = np.flatnonzero(~hot)
-                task_of = ((key_of[cold] >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
+                s = _Strings(data, ids, offsets, marks, least, bits)
+                cold = np.flatnonzero(~s.hot)
+                task_of = ((s.key[cold] >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
                 by_task = cold[np.argsort(task_of, kind="stable")]
                 names, starts = np.unique(np.sort(task_of), return_index=True)
-                packed = [pack.compress(_pack(r, key_of[r], lowest[r], highest[r], [texts[x] for x in r.tolist()])) for r in np.split(by_task, starts[1:])] if len(cold) else []
-                yield told(chunk, len(names), task=names, packed=packed)
-                for r in np.flatnonzero(hot).tolist():
-                    n = len(texts[r]) - least + 1
-                    names = [xxhash.xxh3_128_digest(texts[r][i : i + least]) for i in range(n)]
-                    yield told(chunk, n, ref=[r] * n, lowest=[lowest[r]] * n, highest=[highest[r]] * n, w=names, i=list(range(n)))
+                packed = [pack.compress(_pack(r, s.key[r], s.lowest[r], s.highest[r], [s.texts[x] for x in r.tolist()])) for r in np.split(by_task, starts[1:])] if len(cold) else []
+                own = int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(tasks))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * (1 + len(names)), pa.int64()), pa.array([own, *names.tolist()], pa.int32()), pa.array([pack.compress(s.runs.tobytes()), *[None] * len(names)], pa.binary()), pa.array([None, *packed], pa.binary())],
+                    ["chunk", "task", "runs", "packed"],
+                )
+
+    return chunks.join(marked, "chunk").select("chunk", "ids", "offsets", "packed", "marks").mapInArrow(run, SENT)
+
 
-    return store(chunks.join(marked, "chunk").select("chunk", "ids", "offsets", "packed", "marks").mapInArrow(run, FOUND))
+def windows_of(chunks: DataFrame, marked: DataFrame, least: int, bits: int) -> DataFrame:
+    """WINDOWS of the very frequent anchors; only chunks that have such are opened."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for (chunk, ids, offsets, data), marks in zip(_open(batch), batch.column("marks").to_pylist(), strict=True):
+                s = _Strings(data, ids, offsets, marks, least, bits)
+                for r in np.flatnonzero(s.hot).tolist():
+                    n = len(s.texts[r]) - least + 1
+                    names = [xxhash.xxh3_128_digest(s.texts[r][i : i + least]) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk] * n, pa.int64()), pa.array([r] * n, pa.int32()), pa.array([s.lowest[r]] * n, pa.int64()), pa.array([s.highest[r]] * n, pa.int64()), pa.array(names, pa.binary()), pa.array(range(n), pa.int32())],
+                        ["chunk", "ref", "lowest", "highest", "w", "i"],
+                    )
 
-ANSWER = "chunk long, ref int, spans array<struct<low:long,a:int,b:int>>"
+    with_hot = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull()))
+    return store(chunks.join(with_hot, "chunk").select("chunk", "ids", "offsets", "packed", "marks").mapInArrow(run, WINDOWS))
 
 
-def answers(found: DataFrame, least: int) -> DataFrame:
-    """(chunk, ref, spans): who has an id above ``low`` loses bytes a to b of that string."""
+ANSWER = "chunk long, ref int, spans array<struct<low:long,a:int,b:int>>, runs binary"
+
+
+def answers(sent: DataFrame, windows: DataFrame, least: int) -> DataFrame:
+    """(chunk, ref, spans, runs): who has an id above ``low`` loses bytes a to b of that string; or a chunk's runs."""
     kind = pa.list_(pa.struct([("low", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def scan(table: pa.Table) -> pa.Table:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        parts = [_unpack(unpack.decompress(x.as_py())) for x in table.column("packed")]
+        passing = table.filter(table.column("runs").is_valid())
+        table = table.filter(table.column("packed").is_valid())
+        parts = [_unpack(unpack.decompress(x.as_py())) for x in table.column("packed")] or [_unpack(bytes(4))]
         chunk = np.repeat(table.column("chunk").to_numpy(), [len(p[0]) for p in parts])
         ref, keys, lows, highs = (np.concatenate([p[k] for p in parts]) for k in range(4))
         number: dict[bytes, int] = {}
-        of = np.array([number.setdefault(t, len(number)) for p in parts for t in p[4]])
+        of = np.array([number.setdefault(t, len(number)) for p in parts for t in p[4]], dtype=np.int64)
         low, key_of = np.full(len(number), NO_ID), np.empty(len(number), dtype=np.uint32)
         np.minimum.at(low, of, lows)
         key_of[of] = keys
@@ -303,16 +329,24 @@ def answers(found: DataFrame, least: int) -> DataFrame:
             if d in inner and lows[row] == lowest:  # those with the lowest id lose what smaller ids have in other strings
                 mine += [{"low": lowest - 1, "a": a, "b": b} for a, b in inner[d]]
             said.append(mine)
-        return pa.table([pa.array(chunk[keep]), pa.array(ref[keep].astype(np.int32)), pa.array(said, kind)], ["chunk", "ref", "spans"])
-
-    by_array = found.where(F.col("packed").isNotNull()).select("chunk", "task", "packed").groupBy("task").applyInArrow(lambda t: scan(t), ANSWER)
-    windows = found.where(F.col("w").isNotNull()).select("chunk", "ref", "highest", "w", "i", "lowest")
+        n, m = len(keep), len(passing)
+        chunks_ = pa.concat_arrays([pa.array(chunk[keep], pa.int64()), *passing.column("chunk").chunks])
+        spans_ = pa.concat_arrays([pa.array(said, kind), pa.nulls(m, kind)])
+        runs_ = pa.concat_arrays([pa.nulls(n, pa.binary()), *[c.cast(pa.binary()) for c in passing.column("runs").chunks]])
+        return pa.table([chunks_, pa.array([*ref[keep].tolist(), *[None] * m], pa.int32()), spans_, runs_], ["chunk", "ref", "spans", "runs"])
+
+    def scanned(table: pa.Table) -> pa.Table:
+        out = scan(table)
+        release()
+        return out
+
+    by_array = sent.groupBy("task").applyInArrow(lambda t: scanned(t), ANSWER)
     least_of = windows.groupBy("w").agg(F.min("lowest").alias("low"))
     lost = windows.join(least_of, "w").where("highest > low").groupBy("chunk", "ref").agg(F.collect_list(F.struct("low", F.col("i").alias("a"), (F.col("i") + least).alias("b"))).alias("spans"))
-    return by_array.union(lost)
+    return by_array.union(lost.select("chunk", "ref", "spans", F.lit(None).cast("binary").alias("runs")))
 
 
-def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 50_000, task_strings: int = 60_000) -> DataFrame:
+def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 50_000, task_strings: int = 40_000) -> DataFrame:
     """The chunk table with what to remove: runs (RUNS) and answers (ref, spans)."""
     spark = docs.sparkSession
     chunks = chunked(docs, chunk_bytes)
@@ -320,10 +354,12 @@ def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_s
     bits = min(max(6, (n // 8).bit_length()), 31)  # about two million anchors a bucket
     marked = shared_anchors(chunks, least, bits, most_strings)
     n_marks = marked.agg(F.sum("n")).first()[0] or 0
-    found = strings_of(chunks, marked, least, bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // task_strings)))
-    said = answers(found, least).groupBy("chunk").agg(F.collect_list(F.struct("ref", "spans")).alias("answers"))
-    runs = found.where(F.col("runs").isNotNull()).select("chunk", "runs")
-    return chunks.join(runs, "chunk", "left").join(said, "chunk", "left").select("chunk", "ids", "offsets", "packed", "runs", "answers")
+    sent = strings_of(chunks, marked, least, bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // task_strings)))
+    said = answers(sent, windows_of(chunks, marked, least, bits), least)
+    per_chunk = said.groupBy("chunk").agg(
+        F.collect_list(F.when(F.col("spans").isNotNull(), F.struct("ref", "spans"))).alias("answers"), F.max("runs").alias("runs")
+    )
+    return chunks.join(per_chunk, "chunk", "left").select("chunk", "ids", "offsets", "packed", "runs", "answers")
 
 
 def _marks(size: int, ids: np.ndarray, offsets: np.ndarray, runs: bytes | None, answers_: pa.ListScalar) -> np.ndarray:
@@ -337,7 +373,9 @@ def _marks(size: int, ids: np.ndarray, offsets: np.ndarray, runs: bytes | None,
         low, a, b = (spans.flatten().field(k).to_numpy() for k in ("low", "a", "b"))
         order = np.argsort(ref, kind="stable")
         ref, low, a, b = ref[order], low[order], a[order], b[order]
-        table = np.frombuffer(runs, dtype=RUNS)
+        import zstandard
+
+        table = np.frombuffer(zstandard.ZstdDecompressor().decompress(runs), dtype=RUNS)
         first, last = np.searchsorted(ref, table["ref"], side="left"), np.searchsorted(ref, table["ref"], side="right")
         each = last - first
         run = np.repeat(np.arange(len(table)), each)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +49,9 @@ def store_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """As :func:`store`, in hash buckets of ``column``: joins on it then leave these rows where they are."""
     spark, name = df.sparkSession, f"brindle_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(name)
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(f"default.{name}")
     _written.append((spark, path))
-    return spark.table(name)
+    return spark.table(f"default.{name}")
 
 
 def discard(df: DataFrame) -> None:
@@ -75,6 +78,13 @@ def _clean() -> None:
             return
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task by a minute, next to others at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_bucket(doc_id: F.Column, modulus: int) -> F.Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
