@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, keyed, relational, scalar, streams, system, windows
+from . import aggregates, keyed, relational, scalar, star, streams, system, windows
 from .base import Entry
 
-MODULES = (relational, aggregates, windows, scalar, keyed, system, streams)
+MODULES = (relational, aggregates, windows, scalar, keyed, system, streams, star)
 
 
 def entries() -> dict[str, Entry]:
