@@ -10,7 +10,6 @@ from brindle.operators import log
 from .base import Entry, frame
 
 KEYS = ["o_orderkey", "o_totalprice"]
-STATE = "SELECT user_id, event_id AS seq, value, event_type = 'error' AS deleted FROM events"
 
 
 def _events(events):
@@ -51,7 +50,8 @@ ENTRIES: dict[str, Entry] = {
     "kv_merge_nodedup": frame(lambda o: kv.merge(_layers(o), "o_orderkey"), "orders", oracle="SELECT o_orderkey, 'new' AS v, 0 AS layer FROM orders WHERE o_orderkey BETWEEN 200 AND 400 UNION ALL SELECT o_orderkey, 'base', 1 FROM orders WHERE o_orderkey < 300"),
     "kv_merge_shadow": frame(lambda o: kv.shadow(_layers(o), "o_orderkey"), "orders", oracle="SELECT o_orderkey, CASE WHEN o_orderkey >= 200 THEN 'new' ELSE 'base' END AS v, CASE WHEN o_orderkey >= 200 THEN 0 ELSE 1 END AS layer FROM orders WHERE o_orderkey <= 400"),
     "kv_concat": frame(lambda o: kv.merge([o.select("o_orderkey").where("o_orderkey < 50"), o.select("o_orderkey").where("o_orderkey between 50 and 80")], "o_orderkey").select("o_orderkey"), "orders", oracle="SELECT o_orderkey FROM orders WHERE o_orderkey <= 80"),
-    "kv_latest": frame(lambda e: kv.latest(_events(e), "user_id", ["ts", "seq"]).select("user_id", "seq", "value", "deleted"), "events", oracle=f"SELECT * FROM ({STATE}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (SELECT ts FROM events WHERE event_id = seq) DESC, seq DESC) = 1".replace("(SELECT ts FROM events WHERE event_id = seq)", "t.ts").replace(f"({STATE})", "(SELECT user_id, event_id AS seq, value, event_type = 'error' AS deleted, ts FROM events) t").replace("SELECT * FROM", "SELECT user_id, seq, value, deleted FROM")),
+    "kv_latest": frame(lambda e: kv.latest(_events(e), "user_id", ["ts", "seq"]).select("user_id", "seq", "value", "deleted"), "events", oracle="""
+        SELECT user_id, event_id AS seq, value, event_type = 'error' AS deleted FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""),
     "kv_live_tombstone": frame(lambda e: kv.live(kv.latest(_events(e), "user_id", ["ts", "seq"])).select("user_id", "seq", "value"), "events", oracle="SELECT user_id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'"),
     "kv_compact": frame(lambda e: kv.compact(_events(e), "user_id", ["seq"]).select("user_id", "seq"), "events", oracle="SELECT user_id, seq FROM (SELECT user_id, MAX(event_id) AS seq FROM events GROUP BY user_id) m JOIN (SELECT event_id, event_type FROM events) e ON e.event_id = m.seq WHERE event_type <> 'error'"),
     "kv_write_batch": frame(lambda o: kv.write_batch(o.select("o_orderkey").where("o_orderkey between 10 and 60"), 500, ["o_orderkey"]), "orders", oracle="SELECT o_orderkey, 499 + row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders WHERE o_orderkey BETWEEN 10 AND 60"),

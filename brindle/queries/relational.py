@@ -33,7 +33,7 @@ ENTRIES: dict[str, Entry] = {
     "project_star_exclude": sql("SELECT * EXCEPT (c_acctbal) FROM {customer}", "SELECT * EXCLUDE (c_acctbal) FROM customer"),
     "filter_predicates": sql("""
         SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM {lineitem}
-        WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT l_linestatus = 'O' AND l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'""".replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), """
+        WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT l_linestatus = 'O' AND l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'""", """
         SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem
         WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT l_linestatus = 'O' AND l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'"""),
     "filter_null_logic": sql("""
