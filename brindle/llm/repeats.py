@@ -346,7 +346,7 @@ def answers(sent: DataFrame, windows: DataFrame, least: int) -> DataFrame:
     return by_array.union(lost.select("chunk", "ref", "spans", F.lit(None).cast("binary").alias("runs")))
 
 
-def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 50_000, task_strings: int = 40_000) -> DataFrame:
+def removed(docs: DataFrame, least: int = 50, chunk_bytes: int = 4 << 20, most_strings: int = 50_000, task_strings: int = 25_000) -> DataFrame:
     """The chunk table with what to remove: runs (RUNS) and answers (ref, spans)."""
     spark = docs.sparkSession
     chunks = chunked(docs, chunk_bytes)
