@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, tidy
 from .vectors import clean, matrix
 
 
@@ -52,7 +52,7 @@ def codes(table: DataFrame, id_column: str, vector_column: str, segments: int) -
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "code"])
 
-    return clean(table, id_column, vector_column, zero_too=True).mapInArrow(run, "id long, code array<int>")
+    return clean(table, id_column, vector_column, zero_too=True).mapInArrow(tidy(run), "id long, code array<int>")
 
 
 def steps(widths: list[int], least: int = 1000) -> list[list[tuple[int, int]]]:
@@ -118,7 +118,7 @@ def _routed(active: DataFrame, widths: list[int], lead: int, pairs: list[tuple[i
                         [pa.array([s] * n, pa.int32()), pa.array(names.astype(np.int32)), pa.array([r] * n, pa.int32()), pa.array(queries, pa.binary())], ["segment", "prefix", "radius", "queries"]
                     )
 
-    return active.mapInArrow(run, "segment int, prefix int, radius int, queries binary")
+    return active.mapInArrow(tidy(run), "segment int, prefix int, radius int, queries binary")
 
 
 def _met(widths: list[int], lead: int, k: int):

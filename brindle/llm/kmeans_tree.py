@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, tidy
 from .vectors import clean, matrix
 
 
@@ -133,7 +133,7 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
         most = max((float(np.sqrt((matrix(b.column("raw")) ** 2).sum(axis=1)).max()) for b in batches if b.num_rows), default=0.0)
         yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
 
-    longest = rows.select("raw").mapInArrow(longest_in, "most double").agg(F.max("most")).first()[0]
+    longest = rows.select("raw").mapInArrow(tidy(longest_in), "most double").agg(F.max("most")).first()[0]
     x = lengthened(plain, longest)
     # calibration looks at vectors that the tree was not fitted to, as most are not
     fitted, other = (slice(0, None, 2), slice(1, None, 2)) if len(some) >= 200 else (slice(None), slice(None))
@@ -148,7 +148,7 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 leaf = tree_.assign(lengthened(matrix(batch.column("raw")), longest))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
-    placed = store(rows.mapInArrow(place, "id long, raw binary, leaf int"))
+    placed = store(rows.mapInArrow(tidy(place), "id long, raw binary, leaf int"))
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     blocked = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))  # one row a leaf
 
@@ -179,7 +179,7 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                     [pa.array(leaves, pa.int32()), *[pa.array([a[p].tobytes() for p in pick], pa.binary()) for a in (ids.astype("<i8"), floor, q)]], ["leaf", "query_ids", "floors", "queries"]
                 )
 
-    asked = rows.where(queries).mapInArrow(ask, "leaf int, query_ids binary, floors binary, queries binary")
+    asked = rows.where(queries).mapInArrow(tidy(ask), "leaf int, query_ids binary, floors binary, queries binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +198,7 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 keep = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], ["query_id", "id", "score"])
 
-    found = blocks.join(asked, "leaf").select("ids", "rows", "query_ids", "floors", "queries").mapInArrow(scan, "query_id long, id long, score double")
+    found = blocks.join(asked, "leaf").select("ids", "rows", "query_ids", "floors", "queries").mapInArrow(tidy(scan), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "id", "score")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_bucket
+from .shared import crc_bucket, tidy
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -92,7 +92,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
                 )
 
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in new.items())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import store
+from .shared import store, tidy
 from .wordhash import mix, shingle_sets
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
@@ -80,7 +80,7 @@ def sign(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key_a", "key_b", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SIGNED)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -93,7 +93,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             for at, sets in shingle_sets(batch.column("text"), size):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "members"])
 
-    return found.mapInArrow(run, "id long, members binary")
+    return found.mapInArrow(tidy(run), "id long, members binary")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +115,7 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["v", "u"]).filter(pa.array(keep))
 
-    return store(both.select("v", "u", "set_v", "set_u").mapInArrow(run, "v long, u long").distinct())
+    return store(both.select("v", "u", "set_v", "set_u").mapInArrow(tidy(run), "v long, u long").distinct())
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ SPREAD = "id long, text long, shingle long"
 def promising(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """Those of ``ids`` with enough shingles that another of ``ids`` has too: the others cannot be linked with any."""
     some = sets.join(ids, "id", "left_semi")
-    only = some.mapInArrow(_spread, SPREAD).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    only = some.mapInArrow(tidy(_spread), SPREAD).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
     private = only.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
     sizes = some.groupBy("id").agg((F.min(F.octet_length("members")) / 8).alias("n"), (F.sum(F.octet_length("members")) / 8).alias("all"))
     return sizes.join(private, "id", "left").where(100 * (F.col("all") - F.coalesce("private", F.lit(0))) >= percent * F.col("n")).select("id")
@@ -150,7 +150,7 @@ def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame
     Sets of n and m shingles are linked only if they share k = ceil(percent * (n + m) / (100 + percent)).  With the
     shingles of each in one order, rare ones first, such sets share one of the first n - k + 1 and m - k + 1.
     """
-    rows = store(sets.join(members.select("id"), "id", "left_semi").mapInArrow(_spread, SPREAD), "lz4")
+    rows = store(sets.join(members.select("id"), "id", "left_semi").mapInArrow(tidy(_spread), SPREAD), "lz4")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     own = Window.partitionBy("id", "text")
     placed = rows.join(often, "shingle").select(

@@ -17,6 +17,7 @@ doc_ids are packed row by row; an empty table gives no pieces; other columns are
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, tidy
 
 FRACTION = 20  # bits; rounds * grains a round * 2**20 stays below 2**63 for 10**14 tokens
 MOST_BROADCAST = 200_000  # rows of four numbers and a source's name
@@ -34,13 +35,18 @@ MOST_BROADCAST = 200_000  # rows of four numbers and a source's name
 PLAIN = re.compile(r"[\n\x20-\x7e¡-¬®-ɏΑ-Ωα-ωА-я‘-”]*")
 
 
+@functools.lru_cache(maxsize=1)  # once a worker
 def byte_bpe(json_path: str, ranks_path: str | None = None, pattern: str | None = None):
     """text -> uint16/uint32 ids of a tokenizer file.  With the same vocabulary as ranks, plain texts take the faster library."""
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    @functools.lru_cache(maxsize=1)  # and only if a text needs it
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
     if ranks_path is None:
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return lambda text: np.array(slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     import base64
 
     import tiktoken
@@ -52,7 +58,7 @@ def byte_bpe(json_path: str, ranks_path: str | None = None, pattern: str | None
     def encode(text: str) -> np.ndarray:
         if "<|" not in text and (text.replace("\n", " ").isprintable() if text.isascii() else PLAIN.fullmatch(text)):
             return fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 
@@ -83,7 +89,7 @@ def tokenize(docs: DataFrame, json_path: str, ranks_path: str | None = None, pat
                 )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
-    return store(narrow.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary"))
+    return store(narrow.mapInArrow(tidy(run), "doc_id long, source string, part int, before long, n long, ids binary"))
 
 
 class Rounds:
@@ -181,4 +187,4 @@ def pack(tokens: DataFrame, window: int = 1024, grain: int = 16, least_share: fl
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
-    return joined.mapInArrow(cut, PIECES)
+    return joined.mapInArrow(tidy(cut), PIECES)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, tidy
 
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 Key = tuple[int, int]
@@ -70,7 +70,7 @@ def histogram(rows: DataFrame, probes: list[Key]) -> list[tuple[int, int]]:
         used = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["cell", "bytes", "n"])
 
-    found = rows.mapInArrow(count, "cell long, bytes long, n long").groupBy("cell").agg(F.sum("bytes"), F.sum("n")).collect()
+    found = rows.mapInArrow(tidy(count), "cell long, bytes long, n long").groupBy("cell").agg(F.sum("bytes"), F.sum("n")).collect()
     by_cell = {c: (b, n) for c, b, n in found}
     return [by_cell.get(c, (0, 0)) for c in range(len(probes) + 1)]
 
@@ -150,7 +150,7 @@ def shard(rows: DataFrame, shards: int = 16, tolerance: float = 0.001, group_sla
             part = cells(*_keys(batch), cuts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(start[part])], [*batch.schema.names, "part", "first_slot"])
 
-    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, text_hash long, part int, first_slot long")
+    placed = rows.mapInArrow(tidy(place), "doc_id long, size long, text_crc32 long, text_hash long, part int, first_slot long")
     order = Window.partitionBy("part").orderBy("text_hash", F.asc_nulls_first("doc_id"))
     return placed.select(
         "doc_id", "size", "text_crc32",

@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a partition's batches that gives its memory back when it is through."""
+
+    def through(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return through
+
+
 def crc_bucket(doc_id: F.Column, modulus: int) -> F.Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

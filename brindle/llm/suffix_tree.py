@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_bucket, store
+from .shared import crc_bucket, store, tidy
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""  # no word is empty
@@ -80,7 +80,7 @@ def frequent(train: DataFrame, least_share: float, most_counted: int = 1_000_000
         kept = [(w, c) for w, c in seen.items() if c >= least_share * n and w != END]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [END], pa.binary()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
 
-    sums = train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    sums = train.select("text").mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     sums = store(sums)
     total = sums.where(F.col("word") == END).select("c").first()
     if not total:
@@ -118,7 +118,7 @@ def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
                 ["row", "doc_id", "held_out", "n_tokens", "ids", "other"],
             )
 
-    return store(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, ids binary, other array<struct<word:binary,tf:long>>"))
+    return store(docs.mapInArrow(tidy(run), "row long, doc_id long, held_out boolean, n_tokens long, ids binary, other array<struct<word:binary,tf:long>>"))
 
 
 def _grams(encoded: DataFrame, symbols: int, order: int, contexts: np.ndarray | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def _grams(encoded: DataFrame, symbols: int, order: int, contexts: np.ndarray |
         if held:
             yield told(held)
 
-    counted = encoded.where("not held_out").select("ids").mapInArrow(run, "context long, next long, c long")
+    counted = encoded.where("not held_out").select("ids").mapInArrow(tidy(run), "context long, next long, c long")
     return counted.groupBy("context", "next").agg(F.sum("c").alias("c"))
 
 
@@ -330,7 +330,7 @@ def scores(docs: DataFrame, folds: int = 10, least_share: float = 1e-6, least_ne
                 ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "n_other"],
             )
 
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, n_other long")
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(tidy(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, n_other long")
     joined = scored.join(others, "row", "left")
     rest = F.coalesce("logs", F.lit(0.0)) - F.col("n_other") * F.lit(float(np.log10(scale)))
     return joined.select(
@@ -353,4 +353,4 @@ def _symbol_counts(encoded: DataFrame, symbols: int) -> DataFrame:
         used = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(c[used])], ["symbol", "c"])
 
-    return encoded.where("not held_out").select("ids").mapInArrow(run, "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("c"))
+    return encoded.where("not held_out").select("ids").mapInArrow(tidy(run), "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("c"))
