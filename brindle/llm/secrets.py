@@ -62,16 +62,17 @@ def scan(docs: DataFrame) -> DataFrame:
     df = _find(df, 0, ASSIGN, F.lit(True), "char_length(x.v) >= 12")
     df = _find(df, 1, ACCESS, F.contains("text", F.lit("AKIA")), "char_length(x.m) >= 18")
     df = _find(df, 2, HEX, F.lit(True))
-    certain = F.size("assign") + F.size("access") + F.size("hex")
-    df = _find(df, 4, ENDPOINT, (certain > 0) & F.contains("text", F.lit("://")))
+    df = _find(df, 4, ENDPOINT, F.contains("text", F.lit("://")))
     df = _find(df, 3, SECRET, F.size("access") + F.size("endpoint") > 0)
     return store(df.drop("text"))
 
 
 def linked(scanned: DataFrame, scope: int = 256) -> DataFrame:
     """(doc_id, text_hash, added): the weak candidates with a complementary part within ``scope`` characters."""
-    weak, parts = F.concat("secret", "endpoint"), F.concat("assign", "access", "hex", "endpoint")
-    rows = scanned.where((F.size(weak) > 0) & (F.size(parts) > 0)).select("doc_id", "text_hash", weak.alias("weak"), parts.alias("parts"))
+    weak, parts = F.concat("secret", "endpoint"), F.concat("assign", "access", "hex", "secret", "endpoint")
+    # a row without complements of its weak candidates, as of many with endpoints alone, has no link
+    able = ((F.size("secret") > 0) & (F.size(F.concat("access", "endpoint")) > 0)) | ((F.size("endpoint") > 0) & (F.size(F.concat("assign", "access", "hex", "secret")) > 0))
+    rows = scanned.where(able).select("doc_id", "text_hash", weak.alias("weak"), parts.alias("parts"))
     rows = rows.dropDuplicates(["doc_id", "text_hash"])
     binned = lambda spans, reach: rows.select("doc_id", "text_hash", F.explode(spans).alias("s")).select(
         "doc_id", "text_hash", "s", F.explode(F.expr(f"sequence(greatest(s.start - {reach}, 0) div {scope}, (s.end + {reach}) div {scope})")).alias("bin")

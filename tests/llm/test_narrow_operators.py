@@ -111,6 +111,19 @@ def test_secrets_against_brute_force(spark):
     assert secrets.digest(fx.empty(spark)).count() == 0
 
 
+def test_a_secret_and_an_endpoint_are_linked_by_distance_alone(spark):
+    url = "https://db.example/x"
+    hexes = "deadbeefdeadbeef " + "pad " * 200
+    texts = [f"{url} {KEY}", f"{KEY} {url}", f"{hexes}{url} {KEY}", f"{url} {'pad ' * 200}{KEY}", f"{url} {url}", KEY]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], fx.COLUMNS)
+    got = fx.by_id(secrets.digest(df))
+    at = len(hexes)
+    want = ["endpoint:0:20,secret:21:61", "secret:0:40,endpoint:41:61", f"hex:0:16,endpoint:{at}:{at + 20},secret:{at + 21}:{at + 61}", "", "", ""]
+    assert [got[i]["spans"] for i in range(len(texts))] == want
+    masked = fx.by_id(secrets.redact(df))
+    assert masked[0]["text"] == masked[1]["text"] == "[REDACTED] [REDACTED]" and all(masked[i]["text"] == texts[i] for i in (3, 4, 5))
+
+
 def test_redaction_keeps_clean_text_and_columns(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(SECRETS)] + [(99, None, None, None, None), (98, "clean", "en", "s", 5), (98, "clean", "en", "s", 5), (0, SECRETS[0], "en", "s", 1)]
     df = spark.createDataFrame(rows, fx.COLUMNS).selectExpr("*", "1 as spans", "2 as text_hash")
