@@ -31,11 +31,22 @@ def _layers(orders):
     return [newer, base]
 
 
+def _cut(orders, where):
+    """Rows of the whole table by a condition on ``top``, its largest key."""
+    return orders.select("o_orderkey").crossJoin(F.broadcast(orders.agg(F.max("o_orderkey").alias("top")))).where(where).select("o_orderkey")
+
+
+def _whole_layers(orders):
+    """Two layers that together hold every order: keys from a third on over those up to two thirds."""
+    return [_cut(orders, "o_orderkey >= top div 3").withColumn("v", F.lit("new")), _cut(orders, "o_orderkey <= 2 * top div 3").withColumn("v", F.lit("base"))]
+
+
 def _numbered(events):
     return log.numbered(events.select("event_id", "ts", "value"), ["ts", "event_id"])
 
 
 LSN = "(SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS lsn FROM events)"
+TOP = "(SELECT MAX(o_orderkey) FROM orders)"
 
 ENTRIES: dict[str, Entry] = {
     "kv_range_fwd": frame(lambda o: kv.range_scan(o.select(*KEYS), "o_orderkey", kv.Bound.included(1000), kv.Bound.excluded(1100)), "orders", oracle="SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 1100"),
@@ -55,6 +66,12 @@ ENTRIES: dict[str, Entry] = {
     "kv_live_tombstone": frame(lambda e: kv.live(kv.latest(_events(e), "user_id", ["ts", "seq"])).select("user_id", "seq", "value"), "events", oracle="SELECT user_id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'"),
     "kv_compact": frame(lambda e: kv.compact(_events(e), "user_id", ["seq"]).select("user_id", "seq"), "events", oracle="SELECT user_id, seq FROM (SELECT user_id, MAX(event_id) AS seq FROM events GROUP BY user_id) m JOIN (SELECT event_id, event_type FROM events) e ON e.event_id = m.seq WHERE event_type <> 'error'"),
     "kv_write_batch": frame(lambda o: kv.write_batch(o.select("o_orderkey").where("o_orderkey between 10 and 60"), 500, ["o_orderkey"]), "orders", oracle="SELECT o_orderkey, 499 + row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders WHERE o_orderkey BETWEEN 10 AND 60"),
+    "kv_seek_ge_all": frame(lambda o: kv.seek(o.select(*KEYS), "o_orderkey", 1233.5), "orders", oracle="SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 1233.5 ORDER BY o_orderkey LIMIT 1"),
+    "kv_seek_le_all": frame(lambda o: kv.seek(o.select(*KEYS), "o_orderkey", 1233.5, reverse=True), "orders", oracle="SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 1233.5 ORDER BY o_orderkey DESC LIMIT 1"),
+    "kv_merge_nodedup_all": frame(lambda o: kv.merge(_whole_layers(o), "o_orderkey"), "orders", oracle=f"SELECT o_orderkey, 'new' AS v, 0 AS layer FROM orders WHERE o_orderkey >= {TOP} // 3 UNION ALL SELECT o_orderkey, 'base', 1 FROM orders WHERE o_orderkey <= 2 * {TOP} // 3"),
+    "kv_merge_shadow_all": frame(lambda o: kv.shadow(_whole_layers(o), "o_orderkey"), "orders", oracle=f"SELECT o_orderkey, CASE WHEN o_orderkey >= {TOP} // 3 THEN 'new' ELSE 'base' END AS v, CASE WHEN o_orderkey >= {TOP} // 3 THEN 0 ELSE 1 END AS layer FROM orders"),
+    "kv_concat_all": frame(lambda o: kv.merge([_cut(o, "o_orderkey < top div 2"), _cut(o, "o_orderkey >= top div 2")], "o_orderkey").select("o_orderkey"), "orders", oracle="SELECT o_orderkey FROM orders"),
+    "kv_write_batch_all": frame(lambda o: kv.write_batch(o.select("o_orderkey"), 500, ["o_orderkey"]), "orders", oracle="SELECT o_orderkey, 499 + row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders"),
     "log_scan_range": frame(lambda e: log.read(_numbered(e), 100, 200).select("lsn", "event_id"), "events", oracle=f"SELECT lsn, event_id FROM {LSN} WHERE lsn >= 100 AND lsn < 200"),
     "log_scan_durable": frame(lambda e: log.read(_numbered(e), 100, 200, durable=150).select("lsn", "event_id"), "events", oracle=f"SELECT lsn, event_id FROM {LSN} WHERE lsn >= 100 AND lsn <= 150"),
     "log_durable": frame(lambda e: log.durable_lsn(_numbered(e)), "events", oracle=f"SELECT MAX(lsn) AS durable_lsn FROM {LSN}"),

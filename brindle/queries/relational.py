@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.operators.joins import asof_join, interval_join
+from brindle.operators.log import numbered
 
 from .base import Entry, frame, sql
 
@@ -23,6 +24,12 @@ def _interval(events):
     return interval_join(a, b, a["user_id"] == b["u"], point="c_ts", low=F.col("p_ts") - F.expr("INTERVAL 1 HOUR"), high=F.col("p_ts"), width_seconds=3600).select("purchase_id", "click_id")
 
 
+def _sort_nulls(orders):
+    rows = orders.select("o_orderkey", F.expr("NULLIF(o_orderpriority, '2-HIGH')").alias("k"))
+    up = numbered(rows, [F.col("k").asc_nulls_last(), "o_orderkey"], "up", 1)
+    return numbered(up, [F.col("k").desc_nulls_first(), "o_orderkey"], "down", 1).select("o_orderkey", "up", "down")
+
+
 ENTRIES: dict[str, Entry] = {
     "flagship_revenue_by_nation": sql(f"""
         SELECT n_name, {MONEY} AS revenue, COUNT(*) AS items
@@ -83,6 +90,9 @@ ENTRIES: dict[str, Entry] = {
     "sort_nulls": sql("""
         SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY k ASC NULLS LAST, o_orderkey) AS up, ROW_NUMBER() OVER (ORDER BY k DESC NULLS FIRST, o_orderkey) AS down
         FROM (SELECT o_orderkey, NULLIF(o_orderpriority, '2-HIGH') AS k FROM {orders} WHERE o_orderkey < 500) t""", up="bigint", down="bigint"),
+    "sort_nulls_all": frame(_sort_nulls, "orders", oracle="""
+        SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY k ASC NULLS LAST, o_orderkey) AS up, ROW_NUMBER() OVER (ORDER BY k DESC NULLS FIRST, o_orderkey) AS down
+        FROM (SELECT o_orderkey, NULLIF(o_orderpriority, '2-HIGH') AS k FROM orders) t"""),
     "topk": sql("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "limit_offset": sql("SELECT c_custkey, c_name FROM {customer} ORDER BY c_custkey LIMIT 20 OFFSET 35"),
     "set_union": sql("SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}"),
@@ -96,6 +106,7 @@ ENTRIES: dict[str, Entry] = {
     "values_rows": sql("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)"),
     "select_without_from": sql("SELECT 1 + 1 AS two, 'x' AS letter, TRUE AS flag"),
     "unnest": sql("SELECT vec_id, pos, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS pos, v WHERE pos < 4 AND vec_id < 50", "SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS i) WHERE vec_id < 50"),
+    "unnest_all": sql("SELECT vec_id, pos, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS pos, v", "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"),
     "distinct_rows": sql("SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}"),
     "distinct_on": sql("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) t WHERE r = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
     "qualify": sql("SELECT c_nationkey, c_custkey FROM (SELECT *, RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) t WHERE r <= 2", "SELECT c_nationkey, c_custkey FROM customer QUALIFY RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 2"),
