@@ -82,17 +82,18 @@ class Tree:
             todo += [(child, rows[best == i]) for i, child in enumerate(self.children[node]) if (best == i).any()]
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def visit(self, query: np.ndarray, leaves: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order: ``leaves`` of them, and on until they hold ``least`` vectors, by ``held``."""
         near = _distances(query[None, :], self.centres)[0].tolist()
-        queue, out = [(near[0], 0)], []
-        while queue and len(out) < leaves:
+        queue, out, met = [(near[0], 0)], [], 0
+        while queue and (len(out) < leaves or met < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (near[child], child))
             else:
                 out.append(self.leaf[node])
+                met += int(held[out[-1]]) if held is not None else 0
         return out
 
 
@@ -149,8 +150,12 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
     placed = store(rows.mapInArrow(tidy(place), "id long, raw binary, leaf int"))
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    blocked = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))  # one row a leaf
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for r in sizes.collect():  # one row a leaf
+        held[r["leaf"]] = r["n"]
+    held_by = spark.sparkContext.broadcast(held)
+    blocked = placed.join(F.broadcast(sizes.drop("n")), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))  # one row a leaf
 
     def gather(of: pa.Table) -> pa.Table:
         ids = np.concatenate([c.to_numpy() for c in of.column("id").chunks])
@@ -168,7 +173,7 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 scores[ids[:, None] == ids_[None, :]] = -np.inf
                 going: dict[int, list[int]] = {}
                 for i, query in enumerate(q):
-                    seen = tree_.visit(np.append(query, 0.0), visits)
+                    seen = tree_.visit(np.append(query, 0.0), visits, held_by.value, k + 1)  # the query itself may be one
                     for leaf in seen:
                         going.setdefault(leaf, []).append(i)
                     scores[i, ~np.isin(leaf_of, seen)] = -np.inf

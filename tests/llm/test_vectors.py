@@ -66,3 +66,11 @@ def test_tree_search_of_few_rows_and_none(spark):
     got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in kmeans_tree.nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0).collect())
     assert got == [(0, 1, 6, 0.0), (0, 2, 20, 0.0), (20, 1, 6, 1.0), (20, 2, 0, 0.0)]
     assert kmeans_tree.nearest(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize(("n", "k"), [(1500, 120), (200, 400)])
+def test_tree_search_opens_leaves_until_k_are_met(spark, n, k):
+    df, _ = table(spark, n=n)
+    found = kmeans_tree.nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0, k=k, sample=600, leaf_size=40, recall=0.01)
+    got = [r["count"] for r in found.groupBy("query_id").count().collect()]
+    assert got == [min(k, n - 1)] * (n // 20)
