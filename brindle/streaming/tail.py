@@ -58,23 +58,53 @@ def refresh(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_wins(stream: DataFrame, folder: str, key: str, seq: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Keep each key's newest row: batch n is merged with version n - 1 into version n, so a repeated batch gives the same."""
+def _listed(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def _places(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, list[int]]:
+    """Per part the complete versions (less than ``below``) that hold it, in order."""
+    found: dict[int, list[int]] = {}
+    for version in _listed(spark, folder, "version="):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={version}/_SUCCESS")
+        if (below is None or version < below) and done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            for part in _listed(spark, f"{folder}/version={version}", "part="):
+                found.setdefault(part, []).append(version)
+    return found
+
+
+def newest_wins(stream: DataFrame, folder: str, key: str, seq: Sequence[str], checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Keep each key's newest row, in ``parts`` parts by the key's hash.
+
+    Batch n merges the parts that its keys fall into with their last versions before n, and writes them as version n; the
+    others stay as they are.  So a repeated batch gives the same.  Versions that two later ones supersede go.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch
-        if number:
-            rows = spark.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").unionByName(batch)
-        latest(rows, key, seq).select(batch.columns).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        spark = batch.sparkSession
+        dealt = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = {r["part"] for r in dealt.select("part").distinct().collect()}  # at most ``parts``
+        if not touched:
+            return
+        before = _places(spark, folder, below=number)
+        old = [f"{folder}/version={before[p][-1]}/part={p}" for p in touched if p in before]
+        rows = batch
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch)
+        newest = latest(rows, key, seq).select(batch.columns).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        newest.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/version={number}")
+        for part in touched & set(before):
+            for version in before[part][:-1]:
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={version}/part={part}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """The last complete version that :func:`newest_wins` wrote."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    found = [f.getPath() for f in files if f.getPath().getName().startswith("version=")]
-    done = [p for p in found if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    last = max(int(p.getName().split("=")[1]) for p in done)
-    return spark.read.parquet(f"{folder}/version={last}")
+    """The rows that :func:`newest_wins` keeps now: each part's last complete version."""
+    paths = [f"{folder}/version={versions[-1]}/part={part}" for part, versions in sorted(_places(spark, folder).items())]
+    return spark.read.parquet(*paths)

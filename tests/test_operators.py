@@ -52,6 +52,35 @@ def test_latest_and_compact(spark):
     assert [r["key"] for r in kv.compact(rows, "key", ["seq"]).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("partitions", [4, 16, 200])
+def test_numbers_are_dense_and_in_order_at_size(spark, partitions):
+    n, before = 2_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = log.numbered(spark.range(n).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), F.pmod("id", F.lit(90)).cast("int")).alias("pad")), ["k"])
+        found = rows.agg(F.count(F.lit(1)), F.countDistinct("lsn"), F.min("lsn"), F.max("lsn")).first()
+        assert tuple(found) == (n, n, 0, n - 1)
+        some = rows.where("lsn % 997 = 0").orderBy("lsn").select("k").collect()
+        assert [r[0] for r in some] == sorted(r[0] for r in some)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_index_entries_and_headers(spark):
+    frames = spark.range(10).select(F.col("id").alias("lsn"), log.frame(F.col("id"), F.repeat(F.lit("p"), F.col("id").cast("int")).cast("binary")).alias("frame"))
+    rows = log.indexed(frames, per_segment=4).select("segment", "key", log.decode_entry(F.col("key"), F.col("value")).alias("e")).orderBy("key").collect()
+    assert [(r["segment"], r["e"]["lsn"], r["e"]["length"]) for r in rows] == [(k // 4, k, 16 + k) for k in range(10)]
+    assert [r["e"]["offset"] for r in rows] == [0, 16, 33, 51, 0, 20, 41, 63, 0, 24]
+    made = spark.range(1).select(log.segment_header(F.lit(7), F.lit(4).cast("long"), F.lit(2**40), F.lit(9)).alias("h"))
+    raw = bytes(made.first()["h"])
+    fields = b"WIDX" + b"".join(x.to_bytes(n, "little") for x, n in ((1, 4), (7, 4), (4, 8), (2**40, 8), (9, 4)))
+    assert raw == fields + zlib.crc32(fields).to_bytes(4, "little")
+    bad = raw[:9] + b"!" + raw[10:]
+    read = lambda a, b: spark.createDataFrame([(bytearray(a), bytearray(b))], "a binary, b binary").select(log.decode_header(F.col("a"), F.col("b")).alias("h")).first()["h"]
+    assert tuple(read(raw, bad)) == tuple(read(bad, raw + b"pad")) == (7, 4, 2**40, 9)
+    assert read(bad, raw[:30]) is None
+
+
 def test_log_numbers_ranges_and_frames(spark):
     payload = spark.range(50).select(F.format_string("payload-%04d", "id").alias("payload")).repartition(7)
     numbered = log.numbered(payload, ["payload"])
@@ -109,3 +138,45 @@ def test_streams_equal_their_batches(spark, tmp_path):
     st.newest_wins(st.tail(spark, f"{tmp_path}/in", df.schema, per_trigger=1), f"{tmp_path}/n", "k", ["id"], f"{tmp_path}/c2").awaitTermination()
     assert sorted((r["k"], r["id"]) for r in st.newest_version(spark, f"{tmp_path}/n").collect()) == [(0, 27), (1, 28), (2, 29)]
     assert st.sessions(df, "ts", "2 minutes", ["k"]).count() == 30
+
+
+def test_late_rows_stay_out_of_closed_windows(spark, tmp_path):
+    def put(*minutes):
+        spark.createDataFrame([(m, k) for k, m in enumerate(minutes)], "m int, k int").selectExpr("timestamp_seconds(1700000400 + m * 60) as ts", "k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    schema = "ts timestamp, k int"
+    from pyspark.sql.types import _parse_datatype_string
+
+    def advance():
+        rows = st.timed(st.tail(spark, f"{tmp_path}/in", _parse_datatype_string(schema)), "ts", "10 minutes")
+        st.append_to(st.windowed(rows, "ts", "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+        return sorted((r["w_start"].minute, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    put(0, 1, 12)
+    first = advance()
+    put(35)
+    advance()
+    put(2, 36)  # the first window is closed by now
+    put(70)
+    closed = advance()
+    start = (1700000400 // 60) % 60
+    assert first == [] or first[0][1] == 2
+    assert ((start) % 60, 2) in closed and not any(n == 3 for _, n in closed)
+
+
+def test_newest_wins_rewrites_the_parts_it_touches_only(spark, tmp_path):
+    def put(rows):
+        spark.createDataFrame(rows, "k long, id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = st.tail(spark, f"{tmp_path}/in", spark.createDataFrame([], "k long, id long").schema)
+        st.newest_wins(stream, f"{tmp_path}/n", "k", ["id"], f"{tmp_path}/c", parts=8).awaitTermination()
+        return sorted((r["k"], r["id"]) for r in st.newest_version(spark, f"{tmp_path}/n").collect())
+
+    put([(k, 0) for k in range(100)])
+    run()
+    for n in (1, 2, 3):
+        put([(5, n)])
+        assert run() == sorted([(k, 0) for k in range(100) if k != 5] + [(5, n)])
+    sizes = sorted(len(list((tmp_path / "n" / f"version={v}").glob("part=*"))) for v in range(4))
+    assert sizes == [0, 1, 1, 7]
