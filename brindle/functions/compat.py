@@ -20,7 +20,7 @@ SAME = {
     "list_distinct": "array_distinct", "list_sort": "array_sort", "make_array": "array", "make_list": "array", "row": "struct",
     "starts_with": "startswith", "ends_with": "endswith", "strpos": "instr", "substr_index": "substring_index", "pow": "power", "today": "current_date",
     "to_unixtime": "unix_timestamp", "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros",
-    "arrow_typeof": "typeof", "unnest": "explode", "string_agg": "listagg", "approx_distinct": "approx_count_distinct", "approx_median": "median", "var": "var_samp", "var_population": "var_pop", "var_sample": "var_samp",
+    "arrow_typeof": "typeof", "unnest": "explode", "approx_distinct": "approx_count_distinct", "approx_median": "median", "var": "var_samp", "var_population": "var_pop", "var_sample": "var_samp",
 }
 
 
@@ -86,6 +86,38 @@ def _replace_first(a: str, x: str, y: str, n: str = "1") -> str:
     return f"transform({a}, (e, i) -> if(e <=> {x} AND {count} <= {n}, {y}, e))"
 
 
+#: What a percent sign and a letter mean in a time's pattern, in the letters of Spark's.
+TIME_FIELDS = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "b": "MMM", "h": "MMM", "B": "MMMM", "d": "dd", "e": "d", "j": "DDD", "a": "EEE", "A": "EEEE",
+    "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSSSSS", "3f": "SSS", "6f": "SSSSSS", "9f": "SSSSSSSSS", ".f": ".SSSSSS", ".3f": ".SSS", ".6f": ".SSSSSS",
+    "p": "a", "F": "yyyy-MM-dd", "D": "MM/dd/yy", "T": "HH:mm:ss", "R": "HH:mm", "Z": "zzz", "z": "xx", ":z": "xxx", "%": "'%'",
+}
+
+
+def _time_pattern(given: str) -> str:
+    """A literal pattern with percent signs in Spark's letters; any other pattern is Spark's already."""
+    if not (given[:1] == given[-1:] == "'" and "%" in given):
+        return given
+    out, plain = "", ""
+    for field, other in re.findall(r"%(\.?[369]?f|:z|.)|([^%]+|%$)", given[1:-1]):
+        if field and field not in TIME_FIELDS:
+            raise ValueError(f"time pattern %{field} is not supported")
+        if field:
+            out += (f"''{plain}''" if plain else "") + TIME_FIELDS[field].replace("'", "''")
+            plain = ""
+        elif other.isalpha() or re.search("[A-Za-z]", other):
+            plain += other
+        else:
+            out += other
+    return f"'{out}" + (f"''{plain}''" if plain else "") + "'"
+
+
+def _series(a: str, b: str, step: str = "1") -> str:
+    """From a to b by step, both in it; empty where the step leads away from b."""
+    ahead = ">=" if step.strip().startswith("-") else "<="
+    return f"if({a} {ahead} {b}, sequence({a}, {b}, {step}), array())"
+
+
 EXPRESSIONS: dict[str, Builder] = {
     **{name: (lambda *a, f=spark: f"{f}({', '.join(a)})") for name, spark in SAME.items()},
     "concat": lambda *a: f"concat_ws('', {', '.join(a)})",
@@ -128,13 +160,16 @@ EXPRESSIONS: dict[str, Builder] = {
     "array_distance": lambda a, b: f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> CAST((x - y) * (x - y) AS DOUBLE)), 0d, (s, v) -> s + v))",
     "array_dims": lambda a: f"array(size({a}))",
     "array_ndims": lambda a: f"(char_length(typeof({a})) - char_length(replace(typeof({a}), 'array<', 'array'))) ",
-    "generate_series": lambda a, b, step="1": f"sequence({a}, {b}, {step})",
-    "range": lambda a, b, step="1": f"filter(sequence({a}, {b}, {step}), x -> x < {b})",
+    "generate_series": _series,
+    "range": lambda a, b=None, *step: f"filter({_series(*((a, b) if b else ('0', a)), *step)}, x -> NOT x <=> {b or a})",
     "string_to_array": lambda s, d: f"split({s}, concat('\\\\Q', {d}, '\\\\E'))",
     "make_map": lambda *a: f"map({', '.join(a)})",
     "map_extract": lambda m, k: f"array(try_element_at({m}, {k}))",
     "get_field": lambda s, f: f"({s})[{f}]",
-    "to_char": lambda t, f: f"date_format({t}, {f})",
+    "to_char": lambda t, f: f"date_format({t}, {_time_pattern(f)})",
+    "date_format": lambda t, f: f"date_format({t}, {_time_pattern(f)})",
+    "to_timestamp": lambda x, *f: f"CAST(coalesce({', '.join(f'try_to_timestamp({x}, {_time_pattern(p)})' for p in f)}) AS TIMESTAMP_NTZ)" if f else f"CAST({x} AS TIMESTAMP_NTZ)",
+    "to_date": lambda x, *f: f"coalesce({', '.join(f'CAST(try_to_timestamp({x}, {_time_pattern(p)}) AS DATE)' for p in f)})" if f else f"CAST({x} AS DATE)",
     "arrow_cast": lambda x, kind: f"CAST({x} AS {ARROW_TYPES[kind.strip(chr(39))]})",
     "approx_percentile_cont": lambda x, p: f"approx_percentile({x}, {p}, 10000)",
     "approx_percentile_cont_with_weight": lambda x, w, p: f"percentile({x}, {p}, {w})",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from enum import IntEnum
 
+from pyspark.errors import PySparkException
+
 
 class Code(IntEnum):
     """General, RPC, storage, transaction and replication codes."""
@@ -43,3 +47,12 @@ class EngineError(Exception):
     @property
     def retryable(self) -> bool:
         return self.code in RETRYABLE
+
+
+@contextmanager
+def told() -> Iterator[None]:
+    """What fails inside, while planning or running, is an error of the statement."""
+    try:
+        yield
+    except PySparkException as e:
+        raise EngineError(str(e).split("\n\nJVM stacktrace")[0]) from e

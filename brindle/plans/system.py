@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CATALOG, SCHEMA, SYSTEM = "todb", "public", "system"
+CATALOG, SCHEMA, SYSTEM = "main", "public", "system"
 CREATED = "20260419000000"
 
 # The system tables' columns and rows.  UInt64 is BIGINT here.
@@ -60,25 +60,26 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(ROWS[name], COLUMNS[name])
 
 
-def information_schema(spark: SparkSession, schemas: list[str]) -> dict[str, DataFrame]:
-    """tables, views, columns, schemata, df_settings and routines as the session's catalog has them now; system tables stay hidden."""
+def information_schema(spark: SparkSession, schemas: list[str], catalog: str = CATALOG) -> dict[str, DataFrame]:
+    """tables, views, columns, schemata, df_settings, routines and parameters as the session's catalog has them now; system tables stay hidden."""
     tables, views, columns = [], [], []
     for schema in schemas:
         for t in spark.catalog.listTables(schema):
             if t.isTemporary:
                 continue
             kind = "VIEW" if t.tableType == "VIEW" else "BASE TABLE"
-            tables.append((CATALOG, schema, t.name, kind))
+            tables.append((catalog, schema, t.name, kind))
             if kind == "VIEW":
-                views.append((CATALOG, schema, t.name, None))
+                views.append((catalog, schema, t.name, None))
             for position, c in enumerate(spark.catalog.listColumns(f"{schema}.{t.name}")):
-                columns.append((CATALOG, schema, t.name, c.name, position, None, "YES" if c.nullable else "NO", c.dataType))
+                columns.append((catalog, schema, t.name, c.name, position, None, "YES" if c.nullable else "NO", c.dataType))
     base = "table_catalog STRING, table_schema STRING, table_name STRING, "
     return {
         "tables": spark.createDataFrame(tables, base + "table_type STRING"),
         "views": spark.createDataFrame(views, base + "definition STRING"),
         "columns": spark.createDataFrame(columns, base + "column_name STRING, ordinal_position BIGINT, column_default STRING, is_nullable STRING, data_type STRING"),
         "df_settings": spark.createDataFrame([(r["key"], r["value"]) for r in spark.sql("SET").collect()], "name STRING, value STRING"),
-        "routines": spark.createDataFrame([(CATALOG, SCHEMA, f.name, "FUNCTION") for f in spark.catalog.listFunctions()], "routine_catalog STRING, routine_schema STRING, routine_name STRING, routine_type STRING"),
-        "schemata": spark.createDataFrame([(CATALOG, s, None) for s in [*schemas, "information_schema"]], "catalog_name STRING, schema_name STRING, schema_owner STRING"),
+        "routines": spark.createDataFrame([(catalog, SCHEMA, f.name, "FUNCTION") for f in spark.catalog.listFunctions()], "routine_catalog STRING, routine_schema STRING, routine_name STRING, routine_type STRING"),
+        "parameters": spark.createDataFrame([], "specific_catalog STRING, specific_schema STRING, specific_name STRING, ordinal_position BIGINT, parameter_mode STRING, parameter_name STRING, data_type STRING, parameter_default STRING, is_variadic BOOLEAN, rid SMALLINT"),
+        "schemata": spark.createDataFrame([(catalog, s, None) for s in [*schemas, "information_schema"]], "catalog_name STRING, schema_name STRING, schema_owner STRING"),
     }

@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.plans.engine import Engine
 from brindle.sources.tables import TABLES, load
 
 Query = Callable[[SparkSession, str], DataFrame]
+COMMIT, BUILT = "f00dcafe99", "20250102030405"
+_engines: WeakKeyDictionary[SparkSession, Engine] = WeakKeyDictionary()
 
 
 @dataclass(frozen=True)
@@ -19,17 +23,28 @@ class Entry:
     oracle: str | None
 
 
-def sql(spark_text: str, oracle: str | None = None, **casts: str) -> Entry:
-    """A query as SQL text over {table} placeholders; the oracle is the same text unless one is given.  ``casts``: types
-    of columns whose width differs between engines."""
-    used = [t for t in TABLES if "{" + t + "}" in spark_text]
+def engine(spark: SparkSession) -> Engine:
+    """An engine on a session of its own beside ``spark``, whose settings stay as they are."""
+    if spark not in _engines:
+        _engines[spark] = Engine(spark.newSession(), COMMIT, BUILT)
+    _engines[spark].spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return _engines[spark]
+
+
+def sql(text: str, oracle: str | None = None, **casts: str) -> Entry:
+    """A query in the engine's dialect over the driver's tables; the oracle is the same text unless one is given.
+    ``casts``: types of columns whose width differs between engines."""
+    words = set(re.findall(r"\w+", text))
+    used = [t for t in TABLES if t in words]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.sql(spark_text, **{t: load(spark, sf_dir, t) for t in used})
+        at = engine(spark)
+        for t in used:
+            load(at.spark, sf_dir, t).createOrReplaceTempView(t)
+        df = at.query(text)
         return df.withColumns({c: df[c].cast(kind) for c, kind in casts.items()}) if casts else df
 
-    plain = re.sub(r"\{(\w+)\}", r"\1", spark_text if oracle is None else oracle)
-    return Entry(run, plain)
+    return Entry(run, text if oracle is None else oracle)
 
 
 def frame(build: Callable[..., DataFrame], *tables: str, oracle: str | None = None) -> Entry:

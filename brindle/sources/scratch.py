@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}  # per application in local mode, its folder where none is named
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,9 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    return _own[application]
 
 
 def folder(spark: SparkSession, name: str = "brindle") -> str:

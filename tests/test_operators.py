@@ -112,13 +112,13 @@ def test_text(value, want):
 
 
 def test_json_response(spark):
-    df = spark.sql("SELECT 'Alice' AS name, CAST(30 AS BIGINT) AS age")
-    assert render.json_response(df) == {"schema": [{"name": "name", "type": "Utf8"}, {"name": "age", "type": "Int64"}], "data": [{"name": "Alice", "age": 30}]}
+    df = spark.sql("SELECT 'Mona' AS name, CAST(30 AS BIGINT) AS age")
+    assert render.json_response(df) == {"schema": [{"name": "name", "type": "Utf8"}, {"name": "age", "type": "Int64"}], "data": [{"name": "Mona", "age": 30}]}
     odd = spark.sql("SELECT '30' AS a, 'true' AS b, CAST('NaN' AS DOUBLE) AS c, NULL AS d, '18446744073709551615' AS e, '1.5' AS f")
     assert render.json_response(odd)["data"] == [{"a": 30, "b": True, "c": "NaN", "d": None, "e": 18446744073709551615, "f": 1.5}]
     assert render.json_response(odd, sniff=False)["data"][0]["a"] == "30"
     assert render.json_response(df.limit(0)) == {"schema": render.json_response(df)["schema"], "data": []}
-    assert render.text_rows(df) == [["Alice", "30"]] and render.wire_types(df) == [("name", "TEXT"), ("age", "INT8")]
+    assert render.text_rows(df) == [["Mona", "30"]] and render.wire_types(df) == [("name", "TEXT"), ("age", "INT8")]
 
 
 def test_function_columns(spark):
