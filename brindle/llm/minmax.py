@@ -12,6 +12,9 @@ group of thousands of copies costs one comparison a member and few more for its
 
 With 64 permutations and rows of 4, two sets at similarity 0.75 share no band with probability 5e-6.
 
+Keys that many rows share (a text's copies, a band's bucket, a hub) meet a broadcast of such keys, which are few by
+count, or are salted; other keys are exchanged.
+
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; rows that repeat an id
 are one vertex, linked by each of their texts; a row of null id takes no part (component null, kept); an empty
 table gives no rows; extra columns are kept by :func:`keep_one`.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import store, tidy
+from .shared import hot_limit, join_counted, store, tidy
 from .wordhash import mix, shingle_sets
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
@@ -96,10 +99,20 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(tidy(run), "id long, members binary")
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, column: str, name: str, limit: int) -> DataFrame:
+    """``pairs`` with the sets of ``column``'s ids: the set of an id in many pairs is copied, so that its pairs are dealt out."""
+    hot = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    hot = F.broadcast(hot.select(F.col(column).alias("__id"), F.ceil(F.col("n") / limit).alias("__copies")))  # see hot_limit
+    dealt = pairs.join(hot, F.col(column) == F.col("__id"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("v", "u"), "__copies"), F.lit(0))).drop("__id", "__copies")
+    copied = sets.select(F.col("id").alias(column), F.col("members").alias(name)).join(hot, F.col(column) == F.col("__id"), "left")
+    copied = copied.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1)) - 1))).drop("__id", "__copies")
+    return dealt.join(copied, [column, "__salt"]).drop("__salt")
+
+
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The (v, u) of ``pairs`` (each once) whose full sets have 100 * intersection >= percent * union."""
-    with_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("members").alias("set_v")), "v")
-    both = with_v.join(sets.select(F.col("id").alias("u"), F.col("members").alias("set_u")), "u")
+    """The (v, u) of ``pairs`` (each once, stored) whose full sets have 100 * intersection >= percent * union."""
+    limit = hot_limit(pairs.count())
+    both = _with_set(_with_set(pairs, sets, "v", "set_v", limit), sets, "u", "set_u", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,27 +180,32 @@ def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame
 def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least id reachable by links) and kept (whether that is its own)."""
     signed = store(sign(docs, size, permutations, rows), "lz4")
+    limit = hot_limit(signed.count())
     active = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    vertex = active.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    named = active.join(vertex, ["key_a", "key_b"])
-    own = named.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "key_a", "key_b", "bands")
-    reps = store(own.dropDuplicates(["id", "key_a", "key_b"]), "lz4")
+    text = ["key_a", "key_b"]
+    vertex = store(active.groupBy(*text).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # by text and id, so that copies do not meet
+    own = active.join(vertex.select(*text, F.col("rep").alias("doc_id")), [*text, "doc_id"]).select(F.col("doc_id").alias("id"), *text, "bands")
+    reps = store(own.dropDuplicates(["id", *text]), "lz4")
+    named = store(join_counted(signed.select("doc_id", "n_shingles", *text), vertex, text, "copies", limit, "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep"))).drop(*text, "copies"))
+    ties = _ties(named)
 
     exploded = reps.select("id", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    bucket = store(exploded.join(shared, "key"))
+    bucket = store(join_counted(exploded, shared, ["key"], "c", hot_limit(32 * limit)))
     degree = bucket.groupBy("id").agg(F.sum("c").alias("degree"))
-    hub = bucket.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    hub = bucket.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("n")).select("key", (-F.col("top.minus")).alias("hub"), "n")
+    crowded = hot_limit(bucket.count())
     ordered = lambda a, b: [F.greatest(a, b).alias("v"), F.least(a, b).alias("u")]
-    tried = store(bucket.join(hub, "key").where("id != hub").select(*ordered("id", "hub")).distinct())
+    tried = store(join_counted(bucket.select("key", "id"), hub, ["key"], "n", crowded).where("id != hub").select(*ordered("id", "hub")).distinct())
     sets = store(full_sets(docs, bucket.select("id").distinct(), size), "lz4")
-    links = verified(sets, tried, percent)
+    links = verified(sets, tried, percent).union(ties)
     label = components(links)
 
     in_parts = bucket.join(label.select(F.col("v").alias("id"), F.col("u").alias("part")), "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
     per_part = in_parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_part.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    crowd = store(in_parts.join(mixed, "key").withColumn("stray", F.col("part") != F.col("main")))
+    mixed = per_part.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("members")).where("parts > 1").select("key", F.col("top.part").alias("main"), "members")
+    crowd = store(join_counted(in_parts, mixed, ["key"], "members", crowded).withColumn("stray", F.col("part") != F.col("main")))
     likely = store(crowd.join(promising(sets, crowd.select("id").distinct(), percent), "id"))
     live = likely.where("stray").select("key").distinct()
     members = store(likely.join(live, "key", "left_semi").groupBy("id", "part").agg(F.max("stray").alias("stray")))
@@ -195,21 +213,35 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, permutations: int
     if not rest.isEmpty():
         label = components(links.union(verified(sets, rest, percent)))
 
-    found = (
-        signed.select("doc_id", "n_shingles", "key_a", "key_b")
-        .join(vertex, ["key_a", "key_b"], "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-        .join(label.select(F.col("v").alias("rep"), F.col("u").alias("least")), "rep", "left")
-    )
+    # a row without shingles is its id's vertex all the same, where other rows of that id have some
+    bare = named.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    lent = named.where("rep is not null").join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("lent"))
+    found = named.join(lent, "doc_id", "left").withColumn("rep", F.coalesce("rep", "lent"))
+    found = found.join(label.select(F.col("v").alias("rep"), F.col("u").alias("least")), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _ties(named: DataFrame) -> DataFrame:
+    """(v, u) between the representatives of the texts that one id has."""
+    per_id = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u < last")
+    return named.where("rep is not null").join(per_id, "doc_id").where("rep > u").select(F.col("rep").alias("v"), "u").distinct()
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One row of ``docs`` per class: that of the class's least id.  Of rows that repeat an id one stays; rows of null id do."""
+    """One row of ``docs`` per class: that of the class's least id; rows of null id all stay.
+
+    Where several rows have that id, the one whose text and then whole row have the least hash stays, on every run alike.
+    """
     dropped = classes(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(dropped, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    named = docs.where(docs["doc_id"].isNotNull())
-    if named.groupBy("doc_id").count().where("count > 1").isEmpty():  # reads ids alone
+    repeated = docs.where(docs["doc_id"].isNotNull()).groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    repeated = store(repeated)  # reads ids alone
+    if repeated.isEmpty():
         return left
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+    again = docs["doc_id"] == F.col("__again")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # an aggregate, so that an id of many rows combines before the exchange
+    first = left.join(repeated, again, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*hashed))).alias("__first"))
+    return left.join(repeated, again, "left_anti").unionByName(first.select("__first.*"))

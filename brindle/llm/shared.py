@@ -1,82 +1,41 @@
-"""What the corpus operators share: scratch tables in the cluster's shared folder, and table loading."""
+"""What the corpus operators share: scratch tables in the cluster's shared folder, table loading, joins with hot keys."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.scratch import discard, folder, shared_folder, store
+
+__all__ = ["ascii_lower", "crc_bucket", "discard", "folder", "release", "shared_folder", "store", "store_bucketed", "table", "tidy"]
+
 WORD = r"[^\x20\x09-\x0D]+"
-_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only local mode may fall back to one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def store(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a scratch table in the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs a reread of files, not a recomputation.
-    The files go when the driver's Python ends, or with :func:`discard`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+MOST_BUCKETS = 100_000  # Spark's own limit
 
 
 def store_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """As :func:`store`, in hash buckets of ``column``: joins on it then leave these rows where they are."""
-    spark, name = df.sparkSession, f"brindle_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(f"default.{name}")
-    _written.append((spark, path))
-    return spark.table(f"default.{name}")
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a scratch table that no later plan reads."""
-    spark = df.sparkSession
-    scratch = {p for _, p in _written}
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in [p for p in scratch if root.rstrip("/").endswith(p.rsplit("/", 1)[1])]:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written[:] = [x for x in _written if x[1] != path]
+    """As :func:`store`, in hash buckets of ``column``: joins on it then leave these rows where they are.
 
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in list(_written):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session or its JVM has ended
-            return
+    The catalog entry that buckets need goes at once; the rows stay, being an external table's, as long as others' do.
+    """
+    spark, buckets = df.sparkSession, min(buckets, MOST_BUCKETS)
+    path = folder(spark)
+    name = "default." + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def release() -> None:
@@ -103,3 +62,23 @@ def crc_bucket(doc_id: F.Column, modulus: int) -> F.Column:
 
 def ascii_lower(column: F.Column) -> F.Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+MOST_HOT = 100_000  # keys with more than this share of all rows' count are at most so many
+
+
+def hot_limit(rows: int, least: int = 1024) -> int:
+    """The count from which on a key counts as hot: the keys at or above it number at most MOST_HOT among ``rows`` rows."""
+    return max(least, -(-rows // MOST_HOT))
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, limit: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key, ``count``: how many rows have it) on ``keys``.
+
+    Rows of hot keys stay where they are and meet a broadcast of these keys' rows, bounded by :func:`hot_limit`; the others
+    are exchanged, at most ``limit`` rows a key.
+    """
+    hot = F.broadcast(keyed.where(F.col(count) >= limit).withColumn("__hot", F.lit(True)))
+    tried = rows.join(hot, keys, "left")
+    cold = tried.where(F.col("__hot").isNull()).select(rows.columns).join(keyed.where(F.col(count) < limit), keys, how)
+    return tried.where("__hot").drop("__hot").select(cold.columns).unionByName(cold)

@@ -98,3 +98,39 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(300, 340)] + [(7, 1)]
     got = {r["v"]: r["u"] for r in components.components(spark.createDataFrame(edges, "v long, u long")).collect()}
     assert got == {k: 100 for k in range(101, 161)} | {k: 1 for k in [7, *range(300, 340)]}
+
+
+def test_rows_of_one_id_with_other_texts_are_one_vertex(spark):
+    rng = random.Random(12)
+    a, b, lone = (" ".join(f"{p}{rng.randrange(10**5)}" for _ in range(60)) for p in "abz")
+    near = " ".join(b.split()[:-1] + ["changed"])
+    rows = [(2, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (9, near, "en", "s", 1), (5, "", "en", "s", 0), (7, lone, "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, fx.COLUMNS)
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minmax.classes(df).collect())
+    assert got == Counter({(2, 2, True): 1, (5, 2, False): 3, (9, 2, False): 1, (7, 7, True): 2, (8, 8, True): 2})
+    left = minmax.keep_one(df)
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 7, 8]
+    assert sorted(map(str, left.collect())) == sorted(map(str, minmax.keep_one(df.repartition(3)).collect()))
+
+
+def test_repeated_ids_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = fx.rows(n=60)
+    for f in range(3):
+        rows += family(rng, " ".join(f"v{rng.randrange(300)}" for _ in range(120)), 25, 6, 1000 * (f + 1))
+    rows += [(i, rows[rng.randrange(len(rows))][1], "en", "s", 1) for i in (3, 3, 17, 1001, 2004, 3011) for _ in range(2)]
+    got = {}
+    for r in minmax.classes(spark.createDataFrame(rows, fx.COLUMNS).repartition(5)).collect():
+        assert got.setdefault(r["doc_id"], r["component_id"]) == r["component_id"]
+    assert got == brute(rows)
+
+
+def test_hot_keys_join_as_others_do(spark):
+    from brindle.llm.shared import join_counted
+
+    rows = spark.createDataFrame([(k % 7, k) for k in range(300)] + [(99, -1)], "key long, x long")
+    keyed = spark.createDataFrame([(k, 10 * k, 40 + k) for k in range(7)], "key long, y long, n long")
+    plain = sorted(map(tuple, rows.join(keyed, "key").collect()))
+    assert sorted(map(tuple, join_counted(rows, keyed, ["key"], "n", 44).select("key", "x", "y", "n").collect())) == plain and len(plain) == 300
+    left = join_counted(rows, keyed, ["key"], "n", 44, "left").collect()
+    assert len(left) == 301 and [r["y"] for r in left if r["key"] == 99] == [None]
