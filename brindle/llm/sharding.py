@@ -1,15 +1,16 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id).  Splitters of that order are found by counting, exactly
-and on all partitions at once, the bytes below a few candidate keys, and narrowing the candidates until
-each splitter is within tolerance of its share of the bytes.  Only then do rows move, once.
+Rows are ordered by (hash of the text, doc_id, place), place being a row's own number in the written input, so that no two
+rows are equal in the order.  Splitters, one less than there are shards, are found by counting, exactly and on all
+partitions at once, the bytes below a few candidate keys, and narrowing the candidates until each splitter is within
+tolerance of its share of the bytes.  Only then do rows move, once.
 
-Equal texts are neighbours in the order.  A splitter falls between two texts wherever such a place lies
-within ``group_slack`` of the target; a larger group of copies is split inside, by doc_id.
+Equal texts are neighbours in the order.  A splitter falls between two texts wherever such a place lies within
+``group_slack`` of the target; a larger group of copies is split inside, by doc_id, and rows of one id by place.
 
-Defined results: a null text counts as empty (size 1, crc32 0); a null doc_id sorts first; rows that are
-repeated whole are neighbours and are counted each; an empty table gives no rows; other columns of the
-input are not looked at.
+Defined results: a null text counts as empty (size 1, crc32 0); a null doc_id sorts first; rows that are repeated whole
+are counted each, and split where they outgrow a shard; an empty table gives no rows; other columns of the input are not
+looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .shared import store, tidy
 
-LOWEST, HIGHEST = -(2**63), 2**63 - 1
-Key = tuple[int, int]
+LOWEST = -(2**63)
+#: A key is one number: the hash of the text and the id, each from its least value on, and the place, in 64 bits each.
+BITS = 64
+LEVELS = (1 << 2 * BITS, 1 << BITS, 1)
+TOP = 1 << 3 * BITS
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -39,123 +43,122 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def cells(hashes: np.ndarray, ids: np.ndarray, probes: list[Key]) -> np.ndarray:
-    """For each key the number of probes that are at or below it."""
-    first = np.array([p[0] for p in probes], dtype=np.int64)
-    inner: dict[int, list[int]] = {}
-    for h, i in probes:
-        if i != LOWEST:
-            inner.setdefault(h, []).append(i)
-    out = np.searchsorted(first, hashes, side="right")
-    for h, bounds in inner.items():  # at most one per splitter
+def parts_of(key: int) -> tuple[int, int, int]:
+    """(hash, id, place) of a key."""
+    low = (1 << BITS) - 1
+    return (key >> 2 * BITS) + LOWEST, ((key >> BITS) & low) + LOWEST, key & low
+
+
+def cells(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray, probes: list[int]) -> np.ndarray:
+    """For each row the number of probes (in order) at or below its key."""
+    split = [parts_of(p) for p in probes]
+    out = np.searchsorted(np.array([h for h, _, _ in split], dtype=np.int64), hashes, side="right")
+    inner: dict[int, list[tuple[int, int]]] = {}
+    for h, i, place in split:
+        if (i, place) != (LOWEST, 0):
+            inner.setdefault(h, []).append((i, place))
+    for h, bounds in inner.items():  # at most ``fan`` per splitter
         at = np.flatnonzero(hashes == h)
-        out[at] -= len(bounds) - np.searchsorted(np.array(bounds, dtype=np.int64), ids[at], side="right")
+        for i, place in bounds:
+            out[at] -= (ids[at] < i) | ((ids[at] == i) & (places[at] < place))
     return out
 
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("doc_id").fill_null(LOWEST)
-    return batch.column("text_hash").to_numpy(), ids.to_numpy()
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return batch.column("text_hash").to_numpy(), batch.column("doc_id").fill_null(LOWEST).to_numpy(), batch.column("place").to_numpy()
 
 
-def histogram(rows: DataFrame, probes: list[Key]) -> list[tuple[int, int]]:
-    """Exact (bytes, rows) in each of the len(probes) + 1 cells: one partial sum per partition and cell."""
+def bytes_below(rows: DataFrame, probes: list[int]) -> list[int]:
+    """Exact bytes of the rows below each probe: one partial sum per partition and cell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, len(probes) + 1), dtype=np.int64)
+        sums = np.zeros(len(probes) + 1, dtype=np.int64)
         for batch in batches:
-            cell = cells(*_keys(batch), probes)
-            np.add.at(sums[0], cell, batch.column("size").to_numpy())
-            sums[1] += np.bincount(cell, minlength=len(probes) + 1)
-        used = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["cell", "bytes", "n"])
+            np.add.at(sums, cells(*_keys(batch), probes), batch.column("size").to_numpy())
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["cell", "bytes"])
 
-    found = rows.mapInArrow(tidy(count), "cell long, bytes long, n long").groupBy("cell").agg(F.sum("bytes"), F.sum("n")).collect()
-    by_cell = {c: (b, n) for c, b, n in found}
-    return [by_cell.get(c, (0, 0)) for c in range(len(probes) + 1)]
+    found = dict(rows.mapInArrow(tidy(count), "cell long, bytes long").groupBy("cell").agg(F.sum("bytes")).collect())  # a row a probe
+    return np.cumsum([found.get(c, 0) for c in range(len(probes))]).tolist()
 
 
 class _Search:
     """One splitter: the bytes that should lie below it, and the keys it lies between."""
 
-    def __init__(self, target: float):
-        self.target, self.low, self.high = target, (LOWEST, LOWEST), (HIGHEST, HIGHEST)
-        self.below_low, self.below_high = 0, None
-        self.found: Key | None = None
+    def __init__(self, target: float, total: int):
+        self.target, self.low, self.high = target, 0, TOP
+        self.below_low, self.below_high = 0, total
+        self.found: int | None = None
 
-    def probes(self, fan: int) -> list[Key]:
-        (a, i), (b, j) = self.low, self.high
-        if b - a > 1 or (b - a == 1 and i == j == LOWEST and self.below_high is None):
-            return [(x, LOWEST) for x in _between(a, b, fan)]
-        return [(a, x) for x in _between(i, HIGHEST if b > a else j, fan)]
+    def probes(self, fan: int) -> list[int]:
+        """Up to ``fan`` - 1 evenly spaced keys inside the interval, at the coarsest level that has any there."""
+        for unit in LEVELS:
+            first, last = self.low // unit + 1, -(-self.high // unit) - 1
+            if first <= last:
+                return sorted({unit * (first + (last - first) * k // max(fan - 2, 1)) for k in range(fan - 1)})
+        return []
 
-    def narrow(self, probes: list[Key], below: list[int], tolerance: float, slack: float) -> None:
+    def narrow(self, probes: list[int], below: list[int], tolerance: float, slack: float) -> None:
         right = bisect.bisect_left(below, self.target)
-        if right < len(probes) and probes[right] <= self.high:
+        if right < len(probes) and probes[right] < self.high:
             self.high, self.below_high = probes[right], below[right]
-        if right and probes[right - 1] >= self.low:
+        if right and probes[right - 1] > self.low:
             self.low, self.below_low = probes[right - 1], below[right - 1]
-        gaps = [(self.target - self.below_low, self.low)]
-        if self.below_high is not None:
-            gaps.append((self.below_high - self.target, self.high))
-        gap, key = min(gaps)
-        whole_groups = self.high[0] - self.low[0] == 1 and self.low[1] == self.high[1] == LOWEST
-        adjacent = self.low[0] == self.high[0] and self.high[1] - self.low[1] <= 1
-        if gap <= tolerance or (whole_groups and gap <= slack) or adjacent or (self.low[0] + 1 >= self.high[0] and self.low[1] >= HIGHEST - 1):
+        ends = [(abs(self.target - self.below_low), self.low), (abs(self.below_high - self.target), self.high)]
+        gap, key = min(ends)
+        if gap <= tolerance or not self.probes(3):
             self.found = key
+        elif -(-self.high // LEVELS[0]) - 1 < self.low // LEVELS[0] + 1:  # inside one text's group
+            between = [(g, k) for g, k in ends if k % LEVELS[0] == 0 and g <= slack]
+            self.found = min(between)[1] if between else None
 
 
-def _between(a: int, b: int, fan: int) -> list[int]:
-    """Up to ``fan`` - 1 evenly spaced integers strictly inside (a, b)."""
-    return sorted({a + (b - a) * k // fan for k in range(1, fan)} - {a, b})
-
-
-def splitters(rows: DataFrame, parts: int, tolerance: float, group_slack: float, fan: int = 16) -> list[Key]:
-    """Keys that cut ``rows`` into ``parts`` runs of near equal bytes; both limits are in bytes."""
+def splitters(rows: DataFrame, shards: int, tolerance: float, group_slack: float, fan: int = 16) -> list[int]:
+    """Keys that cut ``rows`` into ``shards`` runs of near equal bytes; both limits are in bytes.  A round counts below at
+    most (shards - 1) * (fan - 1) probes, whatever the number of rows."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    searches = [_Search(total * k / parts) for k in range(1, parts)]
-    for _ in range(64):  # each round divides the open intervals by fan; 2 * 64 bits end well before this
+    searches = [_Search(total * k / shards, total) for k in range(1, shards)]
+    for _ in range(3 * BITS):  # each round divides the open intervals by about fan; the key's bits end well before this
         open_ = [s for s in searches if s.found is None]
         probes = sorted({p for s in open_ for p in s.probes(fan)})
         if not probes:
             break
-        below, at = [], 0
-        for cell_bytes, _ in histogram(rows, probes)[:-1]:
-            at += cell_bytes
-            below.append(at)
+        below = bytes_below(rows, probes)
         for s in open_:
             s.narrow(probes, below, tolerance, group_slack)
-    return sorted(s.found or s.low for s in searches)
+    return sorted(s.low if s.found is None else s.found for s in searches)
+
+
+SIZED = "doc_id long, size long, text_crc32 long, text_hash long, place long"
 
 
 def shard(rows: DataFrame, shards: int = 16, tolerance: float = 0.001, group_slack: float = 0.01, part_bytes: int = 256 << 20) -> DataFrame:
     """Deal ``rows`` (as :func:`sized` gives them) into ``shards`` of near equal bytes.
 
-    ``tolerance`` and ``group_slack`` are shares of one shard's bytes.  Each shard is cut into parts of about
-    ``part_bytes`` of text, which are what tasks sort; a row's slot is its part's first slot plus its rank
-    there.  The splitters and part sizes on the driver number ``parts``, whatever the number of rows.
+    ``tolerance`` and ``group_slack`` are shares of one shard's bytes.  A shard's rows are dealt, by their place's hash, to
+    as many tasks as ``part_bytes`` of text ask for; a row's slot is its rank there after the rows of the shard's earlier
+    parts.  The driver holds the splitters alone.
     """
     spark = rows.sparkSession
-    rows = store(rows)
+    rows = store(rows.withColumn("place", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("size")).first()[0] or 0
     per_shard = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-total // (part_bytes * shards)), 1)
-    cuts = splitters(rows, shards * per_shard, tolerance * total / shards, group_slack * total / shards)
-    first_slot, sizes = [], histogram(rows, cuts)
-    for part in range(len(sizes)):
-        first_slot.append(0 if part % per_shard == 0 else first_slot[-1] + sizes[part - 1][1])
+    cuts = splitters(rows, shards, tolerance * total / shards, group_slack * total / shards)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.array(first_slot, dtype=np.int64)
         for batch in batches:
-            part = cells(*_keys(batch), cuts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(start[part])], [*batch.schema.names, "part", "first_slot"])
-
-    placed = rows.mapInArrow(tidy(place), "doc_id long, size long, text_crc32 long, text_hash long, part int, first_slot long")
-    order = Window.partitionBy("part").orderBy("text_hash", F.asc_nulls_first("doc_id"))
-    return placed.select(
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells(*_keys(batch), cuts), pa.int32())], [*batch.schema.names, "shard"])
+
+    placed = rows.mapInArrow(tidy(place), SIZED + ", shard int").withColumn("part", F.pmod(F.xxhash64("place"), F.lit(per_shard)))
+    sizes = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_slot"))
+    order = Window.partitionBy("shard", "part").orderBy("text_hash", F.asc_nulls_first("doc_id"), "place")
+    ranked = placed.withColumn("rank", F.row_number().over(order)).join(first, ["shard", "part"])
+    return ranked.select(
         "doc_id", "size", "text_crc32",
         F.lit("bytes").alias("law"),
-        F.expr(f"part div {per_shard}").cast("int").alias("shard"),
-        (F.col("first_slot") + F.row_number().over(order) - 1).cast("long").alias("slot"),
+        "shard",
+        (F.col("first_slot") + F.col("rank") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

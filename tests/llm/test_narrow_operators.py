@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import language, mixing, packing, queries, secrets, sharding
 
@@ -202,3 +203,39 @@ def test_language_of_fixture_cases(spark):
     kept = language.keep_known(df)
     assert kept.columns == df.columns and 0 < kept.count() <= df.count()
     assert language.held_out(fx.empty(spark)).count() == 0
+
+
+def test_sharding_splits_rows_that_nothing_tells_apart(spark):
+    text = "the same text in every row of this group"
+    rows = [(None, text, None, None, 1)] * 4000 + [(i, f"{i} {'word ' * (i % 9)}", "en", "s", 1) for i in range(3900)] + [(7, text, "en", "s", 1)] * 100
+    df = spark.createDataFrame(rows, fx.COLUMNS).selectExpr("*", "1 as place", "2 as shard", "3 as part").repartition(9)
+    got = sharding.shard(sharding.sized(df), shards=8).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    total = sum(len(r[1].encode()) + 1 for r in rows)
+    assert len(got) == len(rows) and sum(sizes.values()) == total
+    assert all(abs(s - total / 8) <= 0.012 * total / 8 + 60 for s in sizes.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_splitters_against_sorted_rows(spark):
+    """Each splitter lies where the sorted rows' bytes are nearest to its share, by tolerance; probes stay few."""
+    rows = sharding.sized(fx.docs(spark, n=300)).withColumn("place", F.monotonically_increasing_id())
+    plain = sorted((r["text_hash"], sharding.LOWEST if r["doc_id"] is None else r["doc_id"], r["place"], r["size"]) for r in rows.collect())
+    total, largest = sum(r[3] for r in plain), max(r[3] for r in plain)
+    cuts = sharding.splitters(rows, 5, 0, 0)
+    for k, cut in enumerate(cuts, 1):
+        below = sum(r[3] for r in plain if r[:3] < sharding.parts_of(cut))
+        assert abs(below - total * k / 5) <= largest
+        nearest = min(abs(sum(r[3] for r in plain[:n]) - total * k / 5) for n in range(len(plain) + 1))
+        assert abs(below - total * k / 5) == pytest.approx(nearest)
+    search = sharding._Search(total / 2, total)
+    assert len(search.probes(16)) <= 15 and all(0 < p < sharding.TOP for p in search.probes(16))
+
+
+def test_sharding_takes_long_texts(spark):
+    rows = [(i, "x" * (200_000 if i == 3 else 50), "en", "s", 1) for i in range(200)]
+    got = sharding.shard(sharding.sized(spark.createDataFrame(rows, fx.COLUMNS)), shards=4).collect()
+    assert len(got) == 200 and max(r["size"] for r in got) == 200_001 and {r["shard"] for r in got} <= {0, 1, 2, 3}
