@@ -239,3 +239,47 @@ def test_sharding_takes_long_texts(spark):
     rows = [(i, "x" * (200_000 if i == 3 else 50), "en", "s", 1) for i in range(200)]
     got = sharding.shard(sharding.sized(spark.createDataFrame(rows, fx.COLUMNS)), shards=4).collect()
     assert len(got) == 200 and max(r["size"] for r in got) == 200_001 and {r["shard"] for r in got} <= {0, 1, 2, 3}
+
+
+def plain_sizes(text, dictionaries):
+    """What each dictionary makes of a text, block by block, without prepared dictionaries or groups."""
+    import zstandard as z
+
+    said = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+    sizes = {}
+    for lang, raw in dictionaries.items():
+        d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        sizes[lang] = sum(len(z.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(said[i : i + 8192])) for i in range(0, len(said), 8192))
+    return sizes
+
+
+def test_language_against_plain_sizes_with_ties_and_long_texts(spark):
+    rows = [r for r in fx.rows(n=90) if r[2]] + [(700, "les nous une " * 30_000, "fr", "s", 1)]
+    df = spark.createDataFrame(rows, fx.COLUMNS)
+    dictionaries = language.fit(df.select("doc_id", "text", "lang"))
+    dictionaries |= {"aa": dictionaries["de"], "zz": dictionaries["de"]}  # three equal ones tie
+    for group in (2, 64):
+        told = language.Classifier(dictionaries, group=group).many([r[1] for r in rows])
+        for (_, text, *_), (lang, margin) in zip(rows, told, strict=True):
+            if not any(c.isalpha() for c in text or ""):
+                assert (lang, margin) == ("und", 0.0)
+                continue
+            sizes = plain_sizes(text, dictionaries)
+            order = sorted(sizes, key=lambda x: (sizes[x], x))
+            assert lang == order[0] and margin == pytest.approx((sizes[order[1]] - sizes[order[0]]) / sizes[order[1]])
+            assert lang not in ("de", "zz")
+
+
+def test_every_label_is_learned(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)] for _ in range(90)]
+    rows = [(i, " ".join(rng.choices(words[i % 90], k=60)), f"l{i % 90:02d}", "s", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, fx.COLUMNS)
+    assert len(language.fit(df.select("doc_id", "text", "lang"))) == 90
+    small = language.fit(df.select("doc_id", "text", "lang"), all_bytes=90 * 1500)
+    assert len(small) == 90 and max(map(len, small.values())) <= 1500
+    got = [r for r in language.held_out(df).collect() if r["held_out"]]
+    right = sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+    assert right >= 0.9 * len(got) and len({r["lang_pred"] for r in got}) > 64
