@@ -10,9 +10,9 @@ A suffix array of all text at once would move every suffix's beginning.  Here on
 3. All strings of an anchor meet in one task.  An anchor with several distinct strings has their suffixes sorted and
    the interval tree scanned for maximal repeats (see :mod:`suffix_array`): all occurrences of a window are there, as
    its anchor brought it.  One distinct string alone repeats as a whole only.
-4. An anchor of more than ``most_strings`` strings (a passage in a third of all documents, each time in another
-   place) would outgrow a task: its strings' windows are cut out, and equal windows meet by their hash, where combining
-   before the exchange leaves one row each.
+4. An anchor of more than ``most_strings`` strings (the edges of a passage in a third of all documents, each time in
+   other surroundings) would outgrow a task's array.  Its strings' windows are cut out, and equal windows meet by their
+   128-bit hash, where combining before the exchange leaves one row each.  The bytes that go are the same either way.
 5. The answers go back to the chunks, where bytes are dropped and the rest is hashed.
 
 The chunk table is bucketed by chunk, so that text moves once for all of this.
@@ -144,6 +144,18 @@ def _keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key >> np.uint64(32 - bits), return_inverse=True)
 
 
+STEPS = 5  # of the scale, for each doubling: seven bits reach 2**25, more than a chunk has
+
+
+def scaled(n: np.ndarray) -> np.ndarray:
+    """Counts of one and more on a scale of seven bits, rounded up by less than 15 %."""
+    return np.minimum(np.ceil(STEPS * np.log2(np.maximum(n, 1)) - 1e-9), 127).astype(np.uint8)
+
+
+def unscaled(code: np.ndarray) -> np.ndarray:
+    return 2.0 ** (code / STEPS)
+
+
 def shared_anchors(chunks: DataFrame, least: int, bits: int, most_strings: int) -> DataFrame:
     """(chunk, marks, n): for each bucket with shared anchors one bit per distinct key of the chunk there, in order, in
     ``marks``; ``hot`` likewise tells the keys of more than ``most_strings`` strings, where there are any.  n: the bits set."""
@@ -158,8 +170,8 @@ def shared_anchors(chunks: DataFrame, least: int, bits: int, most_strings: int)
                 lowest, highest = np.full(len(distinct), NO_ID), np.full(len(distinct), -(2**63))
                 np.minimum.at(lowest, place, ids[document])
                 np.maximum.at(highest, place, ids[document])
-                # bit 7: several documents; below it the number of strings, at most 127
-                told = np.minimum(np.bincount(place, minlength=len(distinct)), 127).astype(np.uint8) | np.where(lowest < highest, 128, 0).astype(np.uint8)
+                # bit 7: several documents; below it the number of strings, on a scale
+                told = scaled(np.bincount(place, minlength=len(distinct))) | np.where(lowest < highest, 128, 0).astype(np.uint8)
                 cut = np.searchsorted(distinct >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
                 rows = [(b, distinct[i:j].astype("<u4").tobytes(), told[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +189,7 @@ def shared_anchors(chunks: DataFrame, least: int, bits: int, most_strings: int)
         again, hot = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
         again[order] = np.repeat(n > 1, n)
         again |= told > 127
-        hot[order] = np.repeat(np.add.reduceat((told[order] & 127).astype(np.int64), begin) > most_strings, n)
+        hot[order] = np.repeat(np.add.reduceat(unscaled(told[order] & 127), begin) > most_strings, n)
         cut = np.cumsum([0] + [len(x) for x in lows])
         pairs = list(zip(cut[:-1], cut[1:], strict=True))
         bits_of = lambda x: pa.array([np.packbits(x[i:j]).tobytes() if x[i:j].any() else None for i, j in pairs], pa.binary())

@@ -109,3 +109,28 @@ def test_suffixes_are_in_order():
         a, b = suffixes[k - 1], suffixes[k]
         n = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
         assert array.lcp[k] == n
+
+
+def test_counts_on_the_scale_are_never_too_low():
+    n = np.array([1, 2, 3, 7, 100, 127, 128, 5000, 10**6, 2**25])
+    back = repeats.unscaled(repeats.scaled(n))
+    assert (back >= n * (1 - 1e-9)).all() and (back <= 1.15 * n).all()
+
+
+def test_one_chunk_of_very_many_strings_of_an_anchor_is_hot(spark):
+    rng = random.Random(14)
+    letters = "bcdefghijklmnop"
+    passage = "".join(rng.choice(letters) for _ in range(60))
+    rows = [(i, "".join(rng.choice(letters) for _ in range(40)) + passage + "".join(rng.choice(letters) for _ in range(40)), "en", "s", 1) for i in range(5000)]
+    df = spark.createDataFrame(rows, fx.COLUMNS).coalesce(1)
+    chunks = repeats.chunked(df, 4 << 20)
+    assert chunks.count() == 1
+    hot = lambda most: [m for r in repeats.shared_anchors(chunks, 50, 6, most).collect() for m in r["marks"] if m["hot"] is not None]
+    assert hot(500) and hot(2000) and not hot(50_000)
+    got = run(df, most_strings=500)
+    assert got == run(df) and all(60 <= g[2] <= 70 for g in got[1:]) and got[0][2] == 0
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    repeats.digests(fx.docs(spark)).count()
+    assert spark.sql("SHOW TABLES IN default").where("not isTemporary").count() == 0
