@@ -283,3 +283,98 @@ def test_every_label_is_learned(spark):
     got = [r for r in language.held_out(df).collect() if r["held_out"]]
     right = sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
     assert right >= 0.9 * len(got) and len({r["lang_pred"] for r in got}) > 64
+
+
+def plain_rounds(totals, window, grain, weights):
+    """Deficit round-robin, round by round: the order in which (queue, token) leave."""
+    from fractions import Fraction
+
+    left, sent, deficit, order = list(totals), [0] * len(totals), [Fraction(0)] * len(totals), []
+    while any(left):
+        heft = [Fraction(w) if n else 0 for w, n in zip(weights, left, strict=True)]
+        if not sum(heft):
+            heft = [Fraction(t) if n else 0 for t, n in zip(totals, left, strict=True)]
+        going = sum(heft)
+        for q, n in enumerate(left):
+            if not n:
+                continue
+            deficit[q] += Fraction(window, grain) * heft[q] / going
+            take = min(n, grain * int(deficit[q]))
+            deficit[q] -= int(deficit[q])
+            order += [(q, sent[q] + k) for k in range(take)]
+            sent[q] += take
+            left[q] -= take
+    return order
+
+
+def placed(plan, totals):
+    got = {}
+    for q, total in enumerate(totals):
+        cuts = [0, *range(7, total, 37), total]
+        first, n = [a for a, b in zip(cuts, cuts[1:], strict=False) if b > a], [b - a for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        import numpy as np
+
+        of, start, length, place = plan.segments(np.full(len(n), q), np.array(first), np.array(n))
+        for d, s, k, p in zip(of.tolist(), start.tolist(), length.tolist(), place.tolist(), strict=True):
+            for x in range(k):
+                assert p + x not in got
+                got[p + x] = (q, first[d] + s + x)
+    return [got[k] for k in range(sum(totals))]
+
+
+def test_rounds_with_weights_against_rounds_one_by_one():
+    totals, weights = [640, 333, 200, 17], [1, 3, 2, 2]
+    assert placed(packing.Rounds(totals, 64, 4, weights), totals) == plain_rounds(totals, 64, 4, weights)
+    assert placed(packing.Rounds(totals, 64, 4, [1, 0, 0, 0]), totals)[:640] == [(0, k) for k in range(640)]
+
+
+def test_pools_place_every_token_once_and_in_order():
+    totals = [500, 300, 90, 80, 70, 60, 41, 33, 20, 10, 9, 5, 1]
+    for weights in (None, [1.0 + k % 3 for k in range(13)]):
+        got = placed(packing.Streams(totals, 64, 4, weights, fan=4), totals)
+        for q, total in enumerate(totals):
+            assert [t for s, t in got if s == q] == list(range(total))
+    natural = placed(packing.Streams(totals, 64, 4, None, fan=4), totals)
+    for k in range(0, 1152, 64):  # even the sources inside pools keep near their shares
+        for q, total in enumerate(totals):
+            seen = sum(s == q for s, _ in natural[:k])
+            assert abs(seen - total * k / sum(totals)) <= 40
+
+
+def test_packing_to_unequal_targets(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again until evening " * 40
+    rows = [(i, text, "abc"[i % 3], "abc"[i % 3], 1) for i in range(90)]
+    tokens = packing.tokenize(spark.createDataFrame(rows, fx.COLUMNS).repartition(4), **queries.tokenizer_files())
+    share = defaultdict(lambda: defaultdict(int))
+    for p in packing.pack(tokens, weights={"a": 6, "b": 1, "c": 1}).collect():
+        share[p["sequence_id"]][p["source"]] += p["length"]
+    dry = max(k for k in share if share[k]["a"]) - 1
+    assert all(abs(share[k]["a"] - 768) <= 64 and abs(share[k]["b"] - 128) <= 64 for k in range(dry))
+    assert all(abs(share[k]["b"] - 512) <= 64 for k in range(dry + 3, max(share) - 1))
+
+
+def test_packing_a_very_long_document_among_many_sources_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    totals = sorted([2_000_000] + [40_000 + 10 * k for k in range(299)], reverse=True)
+    plan = packing.Streams(totals, 1024, 16)
+    tracemalloc.start()
+    of, start, length, place = plan.segments(np.array([0]), np.array([0]), np.array([2_000_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and length.sum() == 2_000_000 and (start[1:] == (start + length)[:-1]).all() and (place[1:] >= (place + length)[:-1]).all()
+    deep = packing.Streams(totals, 1024, 16, fan=16)
+    tracemalloc.start()
+    deep.segments(np.array([290]), np.array([0]), np.array([totals[290]]))
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_packing_with_clashing_columns(spark):
+    rows = fx.rows(n=30)
+    df = spark.createDataFrame(rows, fx.COLUMNS).selectExpr("*", "1 as part", "2 as n", "3 as ids", "4 as queue", "5 as base")
+    out = packing.pack(packing.tokenize(df, **queries.tokenizer_files())).collect()
+    encode = encoder()
+    assert sum(p["length"] for p in out) == sum(len(encode(r[1] or "")) for r in rows)
