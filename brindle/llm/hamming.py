@@ -20,9 +20,9 @@ smaller id; fewer rows than k give all; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,38 @@ def steps(widths: list[int], least: int = 1000) -> list[list[tuple[int, int]]]:
     return out
 
 
+MOST_PROBES = 1 << 18  # numbers that a block's lookups hold at once
+
+
+@functools.lru_cache(maxsize=1024)
 def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], dtype=np.int64)
+    """All numbers of ``width`` bits with ``radius`` of them set."""
+    if radius > width:
+        return np.zeros(0, dtype=np.int64)
+    if radius in (0, width):
+        return np.array([(1 << radius) - 1], dtype=np.int64)
+    return np.concatenate([_masks(width - 1, radius), _masks(width - 1, radius - 1) | (1 << (width - 1))])
+
+
+def _met_values(value: np.ndarray, prefix: int, tail: int, some: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, query) where a block's sorted values, all of one prefix, differ from a query's in ``radius`` of the ``tail``
+    trailing bits: each such value is looked up, or all values are compared where that is less."""
+    low_bits = some & ((1 << tail) - 1)
+    if math.comb(tail, radius) > len(value):
+        owner, entry = np.nonzero(np.bitwise_count((value & ((1 << tail) - 1))[None, :] ^ low_bits[:, None]) == radius)
+        return entry, owner
+    masks = _masks(tail, radius)
+    probe = ((prefix << tail) | (low_bits[:, None] ^ masks)).ravel()
+    low = np.searchsorted(value, probe, side="left")
+    each = np.searchsorted(value, probe, side="right") - low
+    entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    return entry, np.repeat(np.repeat(np.arange(len(some)), len(masks)), each)
+
+
+def _slices(at: np.ndarray, each: int) -> list[np.ndarray]:
+    """``at`` cut so that ``each`` numbers for every one stay within MOST_PROBES."""
+    step = max(MOST_PROBES // max(each, 1), 1)
+    return [at[i : i + step] for i in range(0, len(at), step)] if each else []
 
 
 def blocks_of(entries: DataFrame, widths: list[int], lead: int, block: int) -> DataFrame:
@@ -130,17 +160,12 @@ def _met(widths: list[int], lead: int, k: int):
         value, counts, ids = (np.frombuffer(row[c], dtype=t) for c, t in (("values", "<i4"), ("counts", "<i4"), ("ids", "<i8")))
         codes_, queries = (np.frombuffer(row[c], dtype="<i4").reshape(-1, parts) for c in ("codes", "queries"))
         first_id = np.cumsum(counts) - counts
-        masks, out = _masks(widths[s], r), []
-        for at in range(0, len(queries), 32):
-            some = queries[at : at + 32]
-            probe = (some[:, s : s + 1] ^ masks).ravel()
-            owner = np.repeat(np.arange(len(some)), len(masks))
-            here = np.flatnonzero(probe >> (widths[s] - lead) == prefix)
-            probe, owner = probe[here], owner[here]
-            low, high = np.searchsorted(value, probe, side="left"), np.searchsorted(value, probe, side="right")
-            each = high - low
-            entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            owner = np.repeat(owner, each)
+        tail, out = widths[s] - lead, []
+        flips = np.bitwise_count((queries[:, s] >> tail) ^ prefix).astype(np.int64)
+        # what the leading bits differ in is known, so the rest of the radius lies in the trailing ones
+        for f, at in [(f, at) for f in np.unique(flips).tolist() for at in _slices(np.flatnonzero(flips == f), min(math.comb(tail, r - f), len(value)))]:
+            some = queries[at]
+            entry, owner = _met_values(value.astype(np.int64), prefix, tail, some[:, s].astype(np.int64), r - f)
             apart = np.bitwise_count(some[owner] ^ codes_[entry]).astype(np.int32)
             # met here first: nearer in no segment, and as near in none before this one
             good = (apart[:, s:] >= r).all(axis=1) & (apart[:, :s] > r).all(axis=1)
@@ -152,6 +177,8 @@ def _met(widths: list[int], lead: int, k: int):
             owner, distance, member = owner[order], distance[order], member[order]
             near = np.arange(len(owner)) - np.searchsorted(owner, owner) <= k
             out.append((some[owner[near]], distance[near], member[near]))
+        if not out:
+            return np.zeros((0, parts), np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

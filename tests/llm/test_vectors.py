@@ -74,3 +74,23 @@ def test_tree_search_opens_leaves_until_k_are_met(spark, n, k):
     found = kmeans_tree.nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0, k=k, sample=600, leaf_size=40, recall=0.01)
     got = [r["count"] for r in found.groupBy("query_id").count().collect()]
     assert got == [min(k, n - 1)] * (n // 20)
+
+
+def test_values_met_by_lookup_and_by_comparison():
+    import numpy as np
+
+    from brindle.llm import hamming
+
+    rng = np.random.default_rng(4)
+    for width, lead in ((12, 4), (9, 0), (10, 9)):
+        tail = width - lead
+        prefix = 5 & ((1 << lead) - 1)
+        for n in (3, 400):
+            value = np.sort((prefix << tail) | rng.integers(0, 1 << tail, n))
+            some = rng.integers(0, 1 << width, 20)
+            for radius in range(tail + 1):
+                entry, owner = hamming._met_values(value, prefix, tail, some, radius)
+                low = (1 << tail) - 1
+                want = {(e, q) for q in range(20) for e in range(n) if bin((int(value[e]) ^ int(some[q])) & low).count("1") == radius}
+                assert len(entry) == len(want) and set(zip(entry.tolist(), owner.tolist(), strict=True)) == want
+    assert hamming._masks(17, 4).tolist() == sorted(hamming._masks(17, 4).tolist()) and len(hamming._masks(17, 4)) == 2380 and not len(hamming._masks(3, 4))
