@@ -1,16 +1,20 @@
-"""Language-model scores by a probabilistic suffix tree over words.
-
-Symbols are the frequent words (at least about ``least_share`` of all training tokens), the text end, and one
-symbol that stands for every other word.  A context is one or two frequent words.  It becomes a state if it is
-frequent enough and its next-symbol distribution diverges from that of its longest proper suffix: its count
-times the Kullback-Leibler divergence must exceed ``divergence`` bits.  A state keeps the next symbols seen at
-least ``least_next`` times in it, with a discount; the rest of its mass goes to its suffix's distribution over
-the other symbols.  The root is the additively smoothed distribution of single words.  Each token is scored in
-the longest suffix of its history that is a state; the symbol for other words is split by the root's
-probabilities.  All distributions sum to one.
-
-What is broadcast is bounded: counts of at least ``least_share`` * N can belong to at most 1 / least_share
-words, contexts, or (context, next) pairs each.  Counts of the other words are joined, not broadcast.
+"""Language-model scores by a probabilistic suffix tree over words, whose counts and states grow with the corpus.
+
+A context is the one to ``depth`` words before a token, all in one text.  It is looked at if it occurs ``least_context``
+times in training, and becomes a state if its next-token distribution diverges from that of its suffix one word shorter:
+its count times the Kullback-Leibler divergence of the observed shares must reach ``divergence`` bits.  A state gives each
+next token seen ``least_next`` times in it that count less ``discount``, over its own count; what is left goes to the
+shorter suffix states.  The root is the additively smoothed distribution of single tokens, unseen words counting as one.
+A token is scored from the longest suffix of its history that is a state.  All distributions sum to one.  The thresholds
+are counts and bits, the same at every size of the corpus, and no count or state is dropped for room.
+
+Nothing that grows is broadcast or collected.  Texts are kept by chunks of a few megabytes as word numbers into the chunk's
+sorted word hashes.  For each order a chunk sends the hashes of its distinct (context, next) pairs with their training
+counts, dealt to buckets by hash; a bucket's task adds up and answers every chunk with the totals, in the order of what it
+sent.  An order's contexts are known by the order below, so only pairs that can matter are sent.  One chunk in which a pair
+occurs then adds it to its context's sums, contexts being dealt likewise, and is told which contexts are states.  A hot
+word, pair or context is one entry a chunk.  Words and contexts are told apart by 64-bit hashes; words hash alike in A-Z
+and a-z.
 
 Defined results: a null text counts as empty (its end alone is scored); a null doc_id belongs to no fold and is
 trained on; repeated rows count each; an empty table gives no rows; other columns are not looked at.
@@ -18,339 +22,376 @@ trained on; repeated rows count each; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_bucket, store, tidy
+from .shared import crc_bucket, release, store, store_bucketed, tidy
+from .wordhash import chunks as blocks
+from .wordhash import column_bytes, mix, words
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-END = b""  # no word is empty
-ALPHA = 0.1  # of the base distribution
+ALPHA = 0.1  # of the root
+END = np.uint64(0x6A09E667F3BCC909)  # the text end's hash
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, vocab binary, stream binary"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words, lower-cased in A-Z, and the end.  Bytes are split at just those six characters."""
-    words = text.encode().translate(LOWER).split() if text else []
-    words.append(END)
-    return words
+@dataclass(frozen=True)
+class Rule:
+    depth: int = 4
+    least_context: int = 4
+    least_next: int = 2
+    discount: float = 0.5
+    divergence: float = 8.0
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def _zip(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-def frequent(train: DataFrame, least_share: float, most_counted: int = 1_000_000) -> list[bytes]:
-    """Words that may hold ``least_share`` of all tokens: none with that share is missed.
 
-    Such a word holds that share of some partition.  Each partition tells the words that may do there, counts never
-    being too low (beyond ``most_counted`` words it drops the rarest); of their sums those of half the share are kept.
-    Exact counts of these come later.
-    """
+def _unzip(data: bytes) -> bytes:
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        part, in_part, n, parts = Counter(), 0, 0, 0
-
-        def merge() -> None:
-            """Lossy counting: a word that comes in after k parts may have had k occurrences before that were dropped."""
-            nonlocal seen, parts
-            for w, c in part.items():
-                seen[w] = seen.get(w, parts) + c
-            parts += 1
-            if len(seen) > most_counted:
-                seen = {w: c for w, c in seen.items() if c > parts}
-
-        for some in _batches(batches):
-            for text in some.column("text").to_pylist():
-                words = tokens(text)
-                in_part += len(words)
-                n += len(words)
-                part.update(words)
-            if in_part > 2 / least_share:
-                merge()
-                part, in_part = Counter(), 0
-        merge()
-        kept = [(w, c) for w, c in seen.items() if c >= least_share * n and w != END]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [END], pa.binary()), pa.array([c for _, c in kept] + [n], pa.int64())], ["word", "c"])
-
-    sums = train.select("text").mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    sums = store(sums)
-    total = sums.where(F.col("word") == END).select("c").first()
-    if not total:
-        return []
-    rows = sums.where((F.col("word") != END) & (F.col("c") >= least_share * total[0] / 2)).orderBy(F.desc("c"), "word").collect()
-    return [bytes(r["word"]) for r in rows]
-
-
-def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """Per row: row (its number), doc_id, held_out, n_tokens, ids (int32; len(words) is the end, one more is any other
-    word), other (its other words with their counts)."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate([*words, END])})
-    other_id = len(words) + 1
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        index, row = shared.value, TaskContext.get().partitionId() << 32
-        for some in _batches(batches):
-            ids, n, other, counts, offsets = [], [], [], [], [0]
-            for text in some.column("text").to_pylist():
-                words_ = tokens(text)
-                n.append(len(words_))
-                known = [index.get(w, other_id) for w in words_]
-                ids.append(np.array(known, dtype="<i4").tobytes())
-                rest = Counter(w for w, i in zip(words_, known, strict=True) if i == other_id)
-                other += rest
-                counts += rest.values()
-                offsets.append(len(other))
-            pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(counts, pa.int64())], ["word", "tf"])
-            rows = pa.array(np.arange(row, row + len(n)))
-            row += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [rows, some.column("doc_id"), some.column("held_out"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                ["row", "doc_id", "held_out", "n_tokens", "ids", "other"],
-            )
-
-    return store(docs.mapInArrow(tidy(run), "row long, doc_id long, held_out boolean, n_tokens long, ids binary, other array<struct<word:binary,tf:long>>"))
-
-
-def _grams(encoded: DataFrame, symbols: int, order: int, contexts: np.ndarray | None = None) -> DataFrame:
-    """(context, next, c) over training rows: runs of ``order`` + 1 symbols whose first ``order`` are words, counted
-    per partition before the exchange.  Two-word contexts are numbered u1 * symbols + u2 and must be among ``contexts``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(contexts)
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted uint64 as the first and the gaps, four bytes each where all fit."""
+    gaps = np.diff(keys)
+    narrow = not len(gaps) or int(gaps.max()) < 1 << 32
+    return bytes([narrow]) + keys[:1].tobytes() + gaps.astype("<u4" if narrow else "<u8").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(keys: list[np.ndarray]) -> pa.RecordBatch:
-            key, c = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key // symbols), pa.array(key % symbols), pa.array(c)], ["context", "next", "c"])
-
-        held, size = [], 0
-        for some in _batches(batches):
-            flat = np.frombuffer(b"".join(x.as_py() for x in some.column("ids")), dtype="<i4").astype(np.int64)
-            n = max(len(flat) - order, 0)
-            context = flat[:n].copy()
-            ok = context < symbols - 2
-            if order == 2:
-                ok &= flat[1 : n + 1] < symbols - 2
-                context = context * symbols + flat[1 : n + 1]
-            if shared.value is not None:
-                known = shared.value
-                at = np.minimum(np.searchsorted(known, context), max(len(known) - 1, 0))
-                ok &= known[at] == context if len(known) else False
-            held.append((context * symbols + flat[order : order + n])[ok])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield told(held)
-                held, size = [], 0
-        if held:
-            yield told(held)
-
-    counted = encoded.where("not held_out").select("ids").mapInArrow(tidy(run), "context long, next long, c long")
-    return counted.groupBy("context", "next").agg(F.sum("c").alias("c"))
-
-
-class Lookup:
-    """Places of numbers among given ones: a hash table with open addressing, asked for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        size = 1 << max(2 * len(keys), 8).bit_length()
-        self.mask = size - 1
-        self.keys = np.full(size, -1, dtype=np.int64)
-        self.places = np.zeros(size, dtype=np.int32)
-        left, slot = np.arange(len(keys)), self._slots(keys)
-        while len(left):
-            free = np.flatnonzero(self.keys[slot[left]] == -1)
-            taken, which = np.unique(slot[left[free]], return_index=True)
-            placed = free[which]
-            self.keys[taken], self.places[taken] = keys[left[placed]], left[placed]
-            left = np.delete(left, placed)
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.mask.bit_length())).astype(np.int64)
-
-    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, place)"""
-        found, place = np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-        open_, slot = np.arange(len(wanted)), self._slots(wanted)
-        while len(open_):
-            there = self.keys[slot]
-            hit = there == wanted[open_]
-            found[open_[hit]] = True
-            place[open_[hit]] = self.places[slot[hit]]
-            on = ~hit & (there != -1)
-            open_, slot = open_[on], (slot[on] + 1) & self.mask
-        return found, place
-
-
-class Tree:
-    """The model as sorted arrays: states, their back-off mass, and their kept next symbols."""
-
-    def __init__(self, symbols: int, root: np.ndarray):
-        self.symbols, self.root = symbols, root  # root: log10 probability of each symbol
-        none = np.zeros(0)
-        self.states = [none.astype(np.int64)] * 3  # by order
-        self.back = [none] * 3
-        self.keys = [none.astype(np.int64)] * 3  # context * symbols + next
-        self.logs = [none] * 3
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
-
-    def _look(self, what: str, order: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        tables = self.__dict__.setdefault("tables", {})  # once a worker, as its broadcast value stays
-        if (what, order) not in tables:
-            tables[what, order] = Lookup(getattr(self, what)[order])
-        return tables[what, order](wanted)
-
-    def log10(self, order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest state that is a suffix of the context); context: of ``order`` words."""
-        if order == 0:
-            return self.root[symbol]
-        shorter = context % self.symbols
-        state, at = self._look("states", order, context)
-        out = np.empty(len(context))
-        rest = np.flatnonzero(~state)
-        out[rest] = self.log10(order - 1, shorter[rest], symbol[rest])
-        here = np.flatnonzero(state)
-        kept, place = self._look("keys", order, context[here] * self.symbols + symbol[here])
-        out[here[kept]] = self.logs[order][place[kept]]
-        off = here[~kept]
-        out[off] = self.back[order][at[off]] + self.log10(order - 1, shorter[off], symbol[off])
-        return out
-
-    def grow(self, order: int, context: np.ndarray, symbol: np.ndarray, c: np.ndarray, total: np.ndarray, discount: float, divergence: float) -> None:
-        """Add the states of an order.  Rows (context, symbol, c) are sorted, of the kept next symbols; total: of the context.
-
-        The divergence is that of the distribution as the state would give it, back-off included.
-        """
-        if not len(context):
-            return
-        states, start = np.unique(context, return_index=True)
-        below = 10.0 ** self.log10(order - 1, context % self.symbols, symbol)
-        p = (c - discount) / total
-        left = 1 - np.add.reduceat(p, start)
-        rest = np.maximum(1 - np.add.reduceat(below, start), 1e-12)
-        gain = np.add.reduceat(p * np.log2(p / below), start) + left * np.log2(np.maximum(left, 1e-12) / rest)
-        # a state without mass left, or without symbols left to give it to, would not sum to one
-        good = (total[start] * gain >= divergence) & (left > 1e-9) & (rest > 1e-9)
-        self.states[order], self.back[order] = states[good], np.log10(left[good] / rest[good])
-        of = np.repeat(good, np.diff(np.append(start, len(context))))
-        self.keys[order], self.logs[order] = context[of] * self.symbols + symbol[of], np.log10(p[of])
-        self.__dict__.pop("tables", None)
-
-    def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text's symbols; texts follow one another in ids, each from its start."""
-        word = ids < self.symbols - 2
-        first = np.zeros(len(ids), dtype=bool)
-        first[starts] = True
-        one = np.zeros(len(ids), dtype=bool)
-        one[1:] = word[:-1] & ~first[1:]
-        two = np.zeros(len(ids), dtype=bool)
-        two[2:] = one[2:] & one[1:-1]
-        out = self.root[ids]
-        at = np.flatnonzero(one & ~two)
-        out[at] = self.log10(1, ids[at - 1], ids[at])
-        at = np.flatnonzero(two)
-        out[at] = self.log10(2, ids[at - 2] * self.symbols + ids[at - 1], ids[at])
-        return np.add.reduceat(out, starts)
-
-
-def _kept(grams: DataFrame, least: float) -> tuple[np.ndarray, ...]:
-    """(context, next, c, context's count) of pairs counted at least ``least`` times, in order: at most N / least."""
-    grams = store(grams)
-    total = grams.groupBy("context").agg(F.sum("c").alias("total")).where(F.col("total") >= least)
-    rows = grams.where(F.col("c") >= least).join(total, "context").toPandas().sort_values(["context", "next"])
-    return tuple(rows[k].to_numpy() for k in ("context", "next", "c", "total"))
-
-
-def other_words(encoded: DataFrame) -> DataFrame:
-    """Per row with other words: the sums over them of tf * log10(c + ALPHA) and of tf where c > 0, c being the word's
-    training count; and how many of them are in training and counted here first, so that their sum is their number.
-
-    No other word is frequent, so no window is large; occurrences move once to their word and once back.
-    """
-    spread = encoded.select("row", "held_out", F.explode("other").alias("o")).select("row", F.when(~F.col("held_out"), F.col("o.tf")).alias("trained"), "o.word", "o.tf")
-    word = Window.partitionBy("word")
-    counted = spread.select("row", "tf", F.coalesce(F.sum("trained").over(word), F.lit(0)).alias("c"), (F.col("row") == F.min("row").over(word)).alias("first"))
-    return store(counted.groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(F.col("c") + ALPHA)).alias("logs"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"),
-        F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("words"),
-    ))
-
-
-def scores(docs: DataFrame, folds: int = 10, least_share: float = 1e-6, least_next: int = 2, discount: float = 0.5, divergence: float = 8.0) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
-    fold = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
-    words = frequent(rows.where("not held_out"), least_share)
-    encoded = encode(rows, words)
-    symbols = len(words) + 2
-
-    others = other_words(encoded)
-    other_v = others.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    counts = np.zeros(symbols, dtype=np.int64)
-    for r in _symbol_counts(encoded, symbols).collect():
-        counts[r["symbol"]] = r["c"]
-    total, other_n = int(counts.sum()), int(counts[-1])
-    known = counts[:-1] > 0
-    distinct = int(known.sum()) + other_v
-    scale = total + ALPHA * (distinct + 1)
-    base = np.log10((counts[:-1] + ALPHA) / scale)
-    other_mass = float(np.log10((other_n + ALPHA * (other_v + 1)) / scale))  # unseen words count as one more word
-
-    tree = Tree(symbols, np.append(base, other_mass))
-    least = max(least_next, least_share * total)
-    single = _kept(_grams(encoded, symbols, 1), least)
-    tree.grow(1, *single, discount, divergence)
-    context, symbol, c, _ = single
-    frequent_pairs = np.sort((context * symbols + symbol)[(symbol < symbols - 2) & (c >= 4 * least)])
-    tree.grow(2, *_kept(_grams(encoded, symbols, 2, frequent_pairs), least), discount, divergence)
-    shared = docs.sparkSession.sparkContext.broadcast((tree, base, known))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree_, base_, known_ = shared.value
-        for some in _batches(batches, 256):
-            texts = [np.frombuffer(x.as_buffer(), dtype="<i4") for x in some.column("ids")]
-            flat = np.concatenate(texts).astype(np.int64)
-            starts = np.cumsum([0] + [len(x) for x in texts[:-1]])
-            named = flat < len(base_)
-            at = np.minimum(flat, len(base_) - 1)
-            seen = (named & known_[at]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*[some.column(k) for k in ("row", "doc_id", "held_out", "n_tokens")], pa.array(np.add.reduceat(seen, starts)), pa.array(np.add.reduceat(np.where(named, base_[at], 0.0), starts)), pa.array(tree_.score(flat, starts)), pa.array(np.add.reduceat((~named).astype(np.int64), starts))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "n_other"],
-            )
-
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(tidy(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, n_other long")
-    joined = scored.join(others, "row", "left")
-    rest = F.coalesce("logs", F.lit(0.0)) - F.col("n_other") * F.lit(float(np.log10(scale)))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"),
-        (F.col("model") + rest - F.col("n_other") * F.lit(other_mass)).alias("score"),
-    )
-
-
-def _symbol_counts(encoded: DataFrame, symbols: int) -> DataFrame:
-    """(symbol, c) over training rows."""
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    first = np.frombuffer(raw[1:9], dtype="<u8")
+    return np.cumsum(np.concatenate([first, np.frombuffer(raw, dtype="<u4" if raw[0] else "<u8", offset=1 + first.nbytes).astype(np.uint64)]), dtype=np.uint64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, number of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], number
+
+
+def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """CHUNKS of rows (doc_id, held_out, text).  stream: per token its word's number in vocab, len(vocab) being the end;
+    sizes: tokens of each text, its end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(symbols, dtype=np.int64)
-        for some in _batches(batches):
-            flat = np.frombuffer(b"".join(x.as_py() for x in some.column("ids")), dtype="<i4")
-            c += np.bincount(flat, minlength=symbols)
-        used = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(c[used])], ["symbol", "c"])
-
-    return encoded.where("not held_out").select("ids").mapInArrow(tidy(run), "symbol long, c long").groupBy("symbol").agg(F.sum("c").alias("c"))
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        ids, held, hashes, counts, size = [], [], [], [], 0
+
+        def told() -> pa.RecordBatch:
+            n = np.concatenate(counts)
+            vocab, _, number = distinct(np.concatenate(hashes))
+            stream = np.full(int(n.sum()) + len(n), len(vocab), dtype="<i4")
+            ends = np.cumsum(n + 1) - 1
+            word = np.ones(len(stream), dtype=bool)
+            word[ends] = False
+            stream[word] = number
+            row = [_zip((n + 1).astype("<i4").tobytes()), _zip(vocab.astype("<u8").tobytes()), _zip(stream.tobytes())]
+            lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row]], ["chunk", "ids", "held", "sizes", "vocab", "stream"])
+
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            doc_ids, folds = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            for a, b in blocks(offsets):
+                if size and size + offsets[b] - offsets[a] > chunk_bytes:
+                    yield told()
+                    made, size, ids, held, hashes, counts = made + 1, 0, [], [], [], []
+                found, per_row = words(data, offsets[a : b + 1])
+                ids += doc_ids[a:b]
+                held += folds[a:b]
+                hashes.append(found)
+                counts.append(per_row)
+                size += int(offsets[b] - offsets[a]) + b - a
+        if ids:
+            yield told()
+
+    rows = docs.mapInArrow(tidy(run), CHUNKS)
+    return store_bucketed(rows, "chunk", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
+
+
+class Chunk:
+    """One chunk's tokens, with what the answers so far say of them."""
+
+    def __init__(self, row: dict, rule: Rule):
+        self.rule, self.number = rule, row["chunk"]
+        self.sizes, self.vocab, self.stream = (np.frombuffer(_unzip(row[k]), dtype=t) for k, t in (("sizes", "<i4"), ("vocab", "<u8"), ("stream", "<i4")))
+        self.held = np.array(row["held"], dtype=bool)
+        self.ids = row["ids"]
+        ends = np.cumsum(self.sizes)
+        self.place = (np.arange(len(self.stream)) - np.repeat(ends - self.sizes, self.sizes)).astype(np.int32)  # of each token in its text
+        self.trained = np.repeat(~self.held, self.sizes)
+
+    def word_counts(self) -> np.ndarray:
+        """Of each word of vocab, in training texts of this chunk."""
+        return np.bincount(self.stream[self.trained], minlength=len(self.vocab) + 1)[:-1]
+
+    def learn_words(self, counts: np.ndarray, ends: int) -> None:
+        self.count = [np.append(counts, ends)[self.stream]]  # by order: training count of the pair that ends at each token
+        self.context = np.append(self.vocab, END)[self.stream]  # of the order at hand; at order 0 unused
+        self.hash = self.context
+        self.order, self.keys = 0, np.zeros(len(self.stream), dtype=np.uint64)
+        self.total, self.open, self.sent, self.numbers = [], [], [], []
+
+    def grow(self) -> None:
+        """Go on to contexts one word longer."""
+        self.order += 1
+        k, n = self.order, len(self.stream)
+        total = np.zeros(n, dtype=np.int64)
+        total[1:] = self.count[k - 1][:-1]  # the context is the pair that ends at the word before
+        total[self.place < k] = 0
+        open_ = total >= self.rule.least_context
+        older = np.zeros(n, dtype=np.uint64)
+        older[k:] = self.hash[: n - k] if k < n else older[k:]
+        self.keys = mix(self.keys * _STEP + older + np.uint64(k))
+        self.total.append(total)
+        self.open.append(open_)
+        self.sent.append(np.flatnonzero(open_ & (self.count[0] >= self.rule.least_next)))
+        pairs = mix(self.keys[self.sent[-1]] ^ (self.hash[self.sent[-1]] * _NEXT))
+        self.pairs, self.first, number = distinct(pairs)
+        self.numbers.append(number)
+
+    def pair_counts(self) -> np.ndarray:
+        """Of each distinct pair of this order, in training texts of this chunk."""
+        return np.bincount(self.numbers[-1][self.trained[self.sent[-1]]], minlength=len(self.pairs))
+
+    def learn_pairs(self, counts: np.ndarray) -> None:
+        here = np.zeros(len(self.stream), dtype=np.int64)
+        here[self.sent[-1]] = counts[self.numbers[-1]]
+        self.count.append(here)
+
+    def sums(self, owned: np.ndarray, words_: int) -> tuple[np.ndarray, ...]:
+        """Over the owned pairs of this order that are frequent enough: (context, its count, and the sums of the pair's
+        share of it, of what the discount leaves of that, of its share of the shorter context, and of its divergence)."""
+        at = self.sent[-1][self.first[owned]]
+        at = at[self.count[-1][at] >= self.rule.least_next]
+        c, total = self.count[-1][at].astype(np.float64), self.total[-1][at].astype(np.float64)
+        below_total = self.total[-2][at] if self.order > 1 else np.full(len(at), words_)
+        p, q = c / total, self.count[self.order - 1][at] / below_total
+        context, first, number = distinct(self.keys[at])
+        add = lambda x: np.bincount(number, weights=x, minlength=len(context))
+        return context, self.total[-1][at][first], add(p), add((c - self.rule.discount) / total), add(q), add(p * np.log2(p / q))
+
+    def contexts(self) -> np.ndarray:
+        return self.keys[self.open[-1]]
+
+
+# What chunks send: sorted keys of one order for one bucket, and what goes with them; kind is the order, or STATES.
+SENT = "kind int, bucket int, chunk long, keys binary, told binary"
+ANSWER = "kind int, bucket int, chunk long, told binary"
+STATES = 99
+TALLY = -1  # the chunk number of a bucket's own row: its distinct keys of a count above zero
+
+
+def _dealt(kind: int, chunk: int, keys: np.ndarray, bits: int, told: list[np.ndarray]) -> Iterator[tuple]:
+    cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if j > i:
+            yield kind, b, chunk, _zip(pack_sorted(keys[i:j])), _zip(b"".join(x[i:j].tobytes() for x in told))
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """A bucket's counts: each chunk is told the sums of its keys, and for which it is the one to speak."""
+    keys = [unpack_sorted(_unzip(x.as_py())) for x in table.column("keys")]
+    counts = np.concatenate([np.frombuffer(_unzip(x.as_py()), dtype="<u4") for x in table.column("told")])
+    _, first, number = distinct(np.concatenate(keys))
+    sums = np.bincount(number, weights=counts, minlength=len(first)).astype(np.int64)  # exact below 2**53
+    speaks = np.zeros(len(number), dtype=bool)
+    speaks[first] = True
+    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    rows, at = [(kind, bucket, TALLY, int((sums > 0).sum()).to_bytes(8, "little"))], 0
+    for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
+        mine = slice(at, at + len(k))
+        rows.append((kind, bucket, chunk, _zip(sums[number[mine]].astype("<i8").tobytes() + np.packbits(speaks[mine]).tobytes())))
+        at += len(k)
+    release()
+    return pa.Table.from_batches([_rows(rows, ANSWER)])
+
+
+def _told_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_add_up` tells: eight bytes a key, then a bit a key."""
+    data = _unzip(raw)
+    n = len(data) * 8 // 65
+    while 8 * n + -(-n // 8) < len(data):
+        n += 1
+    return np.frombuffer(data, dtype="<i8", count=n), np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8 * n), count=n).astype(bool)
+
+
+def _decide(table: pa.Table, rule: Rule) -> pa.Table:
+    """A bucket's contexts: sums over their pairs make states, and each chunk is told what its contexts leave to shorter ones
+    (above one: no state).  A chunk's row has the keys it asks for, and as told those it adds to, with the sums."""
+    parts, asked = [], []
+    for keys, told in zip(table.column("keys"), table.column("told"), strict=True):
+        asked.append(unpack_sorted(_unzip(keys.as_py())))
+        raw = _unzip(told.as_py())
+        parts.append(np.frombuffer(raw, dtype="<f8").reshape(6, -1))
+    joint = np.concatenate(parts, axis=1)
+    contexts, first, number = distinct(np.ascontiguousarray(joint[0]).view("<u8"))
+    add = lambda x: np.bincount(number, weights=x, minlength=len(contexts))
+    p, kept, q, gain = (add(x) for x in joint[2:])
+    total, left, rest = joint[1][first], np.maximum(1 - p, 0), np.maximum(1 - q, 1e-12)
+    gain = gain + np.where(left > 0, left * np.log2(np.maximum(left, 1e-12) / rest), 0)
+    state = total * gain >= rule.divergence
+    states, back = contexts[state], 1 - kept[state]
+    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    rows = []
+    for chunk, keys in zip(table.column("chunk").to_pylist(), asked, strict=True):
+        at = np.minimum(np.searchsorted(states, keys), max(len(states) - 1, 0))
+        hit = states[at] == keys if len(states) else np.zeros(len(keys), dtype=bool)
+        told = np.full(len(keys), 2.0)
+        told[hit] = back[at[hit]]
+        rows.append((kind, bucket, chunk, _zip(told.tobytes())))
+    release()
+    return pa.Table.from_batches([_rows(rows, ANSWER)])
+
+
+def _opened(batch: pa.RecordBatch, rule: Rule, ends: int) -> Iterator[tuple[Chunk, dict[int, list[bytes]]]]:
+    """The chunks of a batch, grown as far as they have answers to, which come by kind and in order of bucket."""
+    for row in range(batch.num_rows):
+        fields = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+        chunk, answers = Chunk(fields, rule), {}
+        for a in sorted(fields.get("answers") or [], key=lambda a: (a["kind"], a["bucket"])):
+            answers.setdefault(a["kind"], []).append(a["told"])
+        if 0 in answers or not len(chunk.vocab):
+            chunk.learn_words(_counts(answers.get(0, []))[0], ends)
+        yield chunk, answers
+    release()
+
+
+def _counts(told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_told_counts(x) for x in told] or [(np.zeros(0, np.int64), np.zeros(0, bool))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _with_answers(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    if not answers:
+        return chunks
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.union(more)
+    per_chunk = every.where(F.col("chunk") != TALLY).groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "told")).alias("answers"))
+    return chunks.join(per_chunk, "chunk", "left")
+
+
+def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: int = 8 << 20) -> DataFrame:  # noqa: B008
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
+    fold = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
+    chunks = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out")), chunk_bytes)
+    n_chunks, ends = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
+    bits = max(3, (n_chunks // 4).bit_length())
+
+    def send(kind: int, known: list[DataFrame]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, answers in _opened(batch, rule, ends):
+                    if kind == 0:
+                        yield _rows(list(_dealt(0, chunk.number, chunk.vocab, bits, [chunk.word_counts().astype("<u4")])), SENT)
+                        continue
+                    for order in range(1, kind):
+                        chunk.grow()
+                        chunk.learn_pairs(_counts(answers.get(order, []))[0])
+                    chunk.grow()
+                    yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, [chunk.pair_counts().astype("<u4")])), SENT)
+
+        sent = _with_answers(chunks, known).mapInArrow(run, SENT)
+        return store(sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t), ANSWER), "none")
+
+    answers = [send(0, [])]
+    vocabulary = sum(int.from_bytes(r["told"], "little") for r in answers[0].where(F.col("chunk") == TALLY).select("told").collect())  # a row a bucket
+    distinct_tokens = vocabulary + (1 if ends else 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(np.frombuffer(_unzip(s.as_py()), dtype="<i4")[~np.array(h.as_py(), dtype=bool)].sum()) for b in batches for s, h in zip(b.column("sizes"), b.column("held"), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    total = chunks.select("sizes", "held").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    for order in range(1, rule.depth + 1):
+        answers.append(send(order, answers))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, known in _opened(batch, rule, ends):
+                asked, sums = [], []
+                for order in range(1, rule.depth + 1):
+                    chunk.grow()
+                    counts, speaks = _counts(known.get(order, []))
+                    chunk.learn_pairs(counts)
+                    asked.append(chunk.contexts())
+                    sums.append(chunk.sums(np.flatnonzero(speaks), total))
+                keys = np.unique(np.concatenate(asked))
+                context, *rest = (np.concatenate(x) for x in zip(*sums, strict=True))
+                order_ = np.argsort(context)
+                context, rest = context[order_], [x[order_].astype("<f8") for x in rest]
+                ends_ = np.arange((1 << bits) + 1, dtype=np.uint64)
+                cut, own = (np.searchsorted(x >> np.uint64(64 - bits), ends_) for x in (keys, context))
+                rows = []
+                for b in range(1 << bits):  # a context that a chunk adds to is one that it asks for
+                    k, o = slice(cut[b], cut[b + 1]), slice(own[b], own[b + 1])
+                    if cut[b + 1] > cut[b]:
+                        told = np.stack([np.ascontiguousarray(context[o]).view("<f8"), *[x[o] for x in rest]])
+                        rows.append((STATES, b, chunk.number, _zip(pack_sorted(keys[k])), _zip(told.tobytes())))
+                yield _rows(rows, SENT)
+
+    asked = _with_answers(chunks, answers).mapInArrow(ask, SENT)
+    answers.append(store(asked.groupBy("bucket").applyInArrow(lambda t: _decide(t, rule), ANSWER), "none"))
+    scale = total + ALPHA * (distinct_tokens + 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, known in _opened(batch, rule, ends):
+                starts = np.cumsum(chunk.sizes) - chunk.sizes
+                p = (chunk.count[0] + ALPHA) / scale
+                base, found = np.add.reduceat(np.log10(p), starts), np.add.reduceat((chunk.count[0] > 0).astype(np.int64), starts)
+                told = [np.frombuffer(_unzip(x), dtype="<f8") for x in known.get(STATES, [])]
+                if told:
+                    p = _from_states(chunk, known, np.concatenate(told), p)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes.astype(np.int64)), pa.array(found), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return _with_answers(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _from_states(chunk: Chunk, known: dict[int, list[bytes]], back: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Each token's probability by its longest suffix state, shorter ones taking what it leaves; p: the root's."""
+    asked, rule = [], chunk.rule
+    for order in range(1, rule.depth + 1):
+        chunk.grow()
+        chunk.learn_pairs(_counts(known.get(order, []))[0])
+        asked.append(chunk.contexts())
+    number = distinct(np.concatenate(asked))[2]
+    at = 0
+    for order in range(1, rule.depth + 1):
+        here = np.flatnonzero(chunk.open[order - 1])
+        left = back[number[at : at + len(here)]]
+        at += len(here)
+        here, left = here[left <= 1], left[left <= 1]
+        c = chunk.count[order][here]
+        own = np.where(c >= rule.least_next, (c - rule.discount) / chunk.total[order - 1][here], 0)
+        p[here] = own + left * p[here]
+    return p
