@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,20 +25,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MOST_BUCKETS = 100_000  # Spark's own limit
 
 
-def store_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    return a * np.uint32(b)
+
+
+def _turned(a: np.ndarray, n: int) -> np.ndarray:
+    return (a << np.uint32(n)) | (a >> np.uint32(32 - n))
+
+
+def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The hash bucket that Spark puts each long into: 32-bit Murmur3 with its constants and seed."""
+    h = np.full(len(numbers), 42, dtype=np.uint32)
+    for half in (numbers & 0xFFFFFFFF, numbers >> 32):
+        k = _times(_turned(_times(half.astype(np.uint32), 0xCC9E2D51), 15), 0x1B873593)
+        h = _times(_turned(h ^ k, 13), 5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = _times(h ^ (h >> np.uint32(16)), 0x85EBCA6B)
+    h = _times(h ^ (h >> np.uint32(13)), 0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % buckets
+
+
+def numbers_for(part: int, buckets: int, turns: int) -> Iterator[int]:
+    """Numbers of a partition's own that lie in ``turns`` buckets in turn: what has them is written to so many files."""
+    wanted = [(part * turns + t) % buckets for t in range(turns)]
+    found: list[list[int]] = [[] for _ in wanted]
+    at = part << 32
+    while True:
+        for own in found:
+            while not own:
+                some = np.arange(at, at + 64 * buckets, dtype=np.int64)
+                at += len(some)
+                where = bucket_of(some, buckets)
+                for k, w in enumerate(wanted):
+                    found[k] += some[where == w].tolist()
+            yield own.pop(0)
+
+
+def store_bucketed(df: DataFrame, column: str, buckets: int, dealt: bool = False) -> DataFrame:
     """As :func:`store`, in hash buckets of ``column``: joins on it then leave these rows where they are.
 
-    The catalog entry that buckets need goes at once; the rows stay, being an external table's, as long as others' do.
+    ``dealt``: the rows lie by bucket already, or by such numbers as :func:`numbers_for` gives.  The catalog entry that buckets need goes at once; the rows stay, being an external table's, as long as others' do.
     """
     spark, buckets = df.sparkSession, min(buckets, MOST_BUCKETS)
     path = folder(spark)
     name = "default." + path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(name)
+    (df if dealt else df.repartition(buckets, column)).write.bucketBy(buckets, column).option("path", path).option("compression", "none").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of steps whose results are stored deleted: Spark does so when the driver's JVM collects its
+    garbage, which else may be long after."""
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker outlives its task by a minute, next to others at work."""
     pa.default_memory_pool().release_unused()

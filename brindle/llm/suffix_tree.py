@@ -13,8 +13,8 @@ sorted word hashes.  For each order a chunk sends the hashes of its distinct (co
 counts, dealt to buckets by hash; a bucket's task adds up and answers every chunk with the totals, in the order of what it
 sent.  An order's contexts are known by the order below, so only pairs that can matter are sent.  One chunk in which a pair
 occurs then adds it to its context's sums, contexts being dealt likewise, and is told which contexts are states.  A hot
-word, pair or context is one entry a chunk.  Words and contexts are told apart by 64-bit hashes; words hash alike in A-Z
-and a-z.
+word, pair or context is one entry a chunk.  Words are told apart by 64-bit hashes, alike in A-Z and a-z, pairs and contexts by 48
+bits or more.
 
 Defined results: a null text counts as empty (its end alone is scored); a null doc_id belongs to no fold and is
 trained on; repeated rows count each; an empty table gives no rows; other columns are not looked at.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_bucket, release, store, store_bucketed, tidy
+from .shared import MOST_BUCKETS, crc_bucket, forget_shuffles, numbers_for, release, store, store_bucketed, tidy
 from .wordhash import chunks as blocks
 from .wordhash import column_bytes, mix, words
 
@@ -62,16 +62,32 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted uint64 as the first and the gaps, four bytes each where all fit."""
-    gaps = np.diff(keys)
-    narrow = not len(gaps) or int(gaps.max()) < 1 << 32
-    return bytes([narrow]) + keys[:1].tobytes() + gaps.astype("<u4" if narrow else "<u8").tobytes()
+def pack_sorted(keys: np.ndarray, shift: int = 0) -> bytes:
+    """Sorted uint64, their last ``shift`` bits being none, as the first and the gaps, byte by byte of all, compressed."""
+    gaps = np.diff(keys >> np.uint64(shift))
+    width = -(-int(gaps.max(initial=1)).bit_length() // 8)
+    return bytes([width, shift]) + keys[:1].tobytes() + _zip(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    first = np.frombuffer(raw[1:9], dtype="<u8")
-    return np.cumsum(np.concatenate([first, np.frombuffer(raw, dtype="<u4" if raw[0] else "<u8", offset=1 + first.nbytes).astype(np.uint64)]), dtype=np.uint64)
+    width, shift, first = raw[0], raw[1], np.frombuffer(raw[2:10], dtype="<u8")
+    planes = np.frombuffer(_unzip(raw[10:]), dtype=np.uint8).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel() << np.uint64(shift)]), dtype=np.uint64)
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, byte by byte of all."""
+    width = max(-(-int(counts.max(initial=1)).bit_length() // 8), 1)
+    return bytes([width]) + counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """``n`` numbers that begin at place ``at``, and where they end."""
+    width, out = raw[at], np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=width * n, offset=at + 1).reshape(width, n).T
+    return out.view("<i8").ravel(), at + 1 + width * n
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +101,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], number
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+TURNS = 2  # buckets a partition, so that a bucket has few chunks
+
+
+def chunked(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
     """CHUNKS of rows (doc_id, held_out, text).  stream: per token its word's number in vocab, len(vocab) being the end;
     sizes: tokens of each text, its end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        numbers = numbers_for(TaskContext.get().partitionId(), buckets, TURNS)
         ids, held, hashes, counts, size = [], [], [], [], 0
 
         def told() -> pa.RecordBatch:
@@ -105,7 +124,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             stream[word] = number
             row = [_zip((n + 1).astype("<i4").tobytes()), _zip(vocab.astype("<u8").tobytes()), _zip(stream.tobytes())]
             lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row]], ["chunk", "ids", "held", "sizes", "vocab", "stream"])
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row]], ["chunk", "ids", "held", "sizes", "vocab", "stream"])
 
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
@@ -113,7 +132,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             for a, b in blocks(offsets):
                 if size and size + offsets[b] - offsets[a] > chunk_bytes:
                     yield told()
-                    made, size, ids, held, hashes, counts = made + 1, 0, [], [], [], []
+                    size, ids, held, hashes, counts = 0, [], [], [], []
                 found, per_row = words(data, offsets[a : b + 1])
                 ids += doc_ids[a:b]
                 held += folds[a:b]
@@ -124,14 +143,24 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield told()
 
     rows = docs.mapInArrow(tidy(run), CHUNKS)
-    return store_bucketed(rows, "chunk", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
+    return store_bucketed(rows, "chunk", buckets, dealt=True)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """In four bytes where all fit: no pair is more frequent than its words."""
+    return counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts.astype(np.int64)
+
+
+#: Bits by which pairs and contexts are told apart: so many in all, and within a bucket, at least; words keep all 64.  A
+#: bucket has some millions of keys at every size, so that one in about a million shares its bits with another.
+IN_ALL, IN_BUCKET = 48, 40
 
 
 class Chunk:
-    """One chunk's tokens, with what the answers so far say of them."""
+    """One chunk's tokens, with what the answers so far say of them; ``shift``: bits that pairs and contexts go without."""
 
-    def __init__(self, row: dict, rule: Rule):
-        self.rule, self.number = rule, row["chunk"]
+    def __init__(self, row: dict, rule: Rule, shift: int):
+        self.rule, self.number, self.shift = rule, row["chunk"], np.uint64(shift)
         self.sizes, self.vocab, self.stream = (np.frombuffer(_unzip(row[k]), dtype=t) for k, t in (("sizes", "<i4"), ("vocab", "<u8"), ("stream", "<i4")))
         self.held = np.array(row["held"], dtype=bool)
         self.ids = row["ids"]
@@ -144,53 +173,59 @@ class Chunk:
         return np.bincount(self.stream[self.trained], minlength=len(self.vocab) + 1)[:-1]
 
     def learn_words(self, counts: np.ndarray, ends: int) -> None:
-        self.count = [np.append(counts, ends)[self.stream]]  # by order: training count of the pair that ends at each token
-        self.context = np.append(self.vocab, END)[self.stream]  # of the order at hand; at order 0 unused
-        self.hash = self.context
+        self.count = [_narrow(np.append(counts, ends))[self.stream]]  # by order: training count of the pair that ends at each token
+        self.hash = np.append(self.vocab, END)[self.stream]
         self.order, self.keys = 0, np.zeros(len(self.stream), dtype=np.uint64)
-        self.total, self.open, self.sent, self.numbers = [], [], [], []
+        self.total, self.open = [], []  # by order: the context's training count, and whether it may be a state
 
     def grow(self) -> None:
-        """Go on to contexts one word longer."""
+        """Go on to contexts one word longer.
+
+        A context that occurs as often as its shorter one is always that one's, and so are its pairs: it tells nothing
+        more, and its counts are known.
+        """
         self.order += 1
         k, n = self.order, len(self.stream)
-        total = np.zeros(n, dtype=np.int64)
+        total = np.zeros(n, dtype=self.count[k - 1].dtype)
         total[1:] = self.count[k - 1][:-1]  # the context is the pair that ends at the word before
         total[self.place < k] = 0
         open_ = total >= self.rule.least_context
+        self.same = open_ & (total == self.total[-1]) if k > 1 else np.zeros(n, dtype=bool)
+        open_ &= ~self.same
         older = np.zeros(n, dtype=np.uint64)
         older[k:] = self.hash[: n - k] if k < n else older[k:]
         self.keys = mix(self.keys * _STEP + older + np.uint64(k))
         self.total.append(total)
         self.open.append(open_)
-        self.sent.append(np.flatnonzero(open_ & (self.count[0] >= self.rule.least_next)))
-        pairs = mix(self.keys[self.sent[-1]] ^ (self.hash[self.sent[-1]] * _NEXT))
-        self.pairs, self.first, number = distinct(pairs)
-        self.numbers.append(number)
+        self.sent = np.flatnonzero(open_ & (self.count[0] >= self.rule.least_next))
+        self.pairs, self.first, self.numbers = distinct(self._cut(mix(self.keys[self.sent] ^ (self.hash[self.sent] * _NEXT))))
+
+    def _cut(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift) << self.shift
 
     def pair_counts(self) -> np.ndarray:
         """Of each distinct pair of this order, in training texts of this chunk."""
-        return np.bincount(self.numbers[-1][self.trained[self.sent[-1]]], minlength=len(self.pairs))
+        return np.bincount(self.numbers[self.trained[self.sent]], minlength=len(self.pairs))
 
     def learn_pairs(self, counts: np.ndarray) -> None:
-        here = np.zeros(len(self.stream), dtype=np.int64)
-        here[self.sent[-1]] = counts[self.numbers[-1]]
+        here = np.where(self.same, self.count[-1], 0)
+        here[self.sent] = counts[self.numbers]
         self.count.append(here)
 
     def sums(self, owned: np.ndarray, words_: int) -> tuple[np.ndarray, ...]:
-        """Over the owned pairs of this order that are frequent enough: (context, its count, and the sums of the pair's
-        share of it, of what the discount leaves of that, of its share of the shorter context, and of its divergence)."""
-        at = self.sent[-1][self.first[owned]]
+        """Over the owned pairs of this order that are frequent enough: (context, its count, and the pairs' number, sum of
+        counts, sum of shares of the shorter context, and sum of divergence)."""
+        at = self.sent[self.first[owned]]
         at = at[self.count[-1][at] >= self.rule.least_next]
         c, total = self.count[-1][at].astype(np.float64), self.total[-1][at].astype(np.float64)
         below_total = self.total[-2][at] if self.order > 1 else np.full(len(at), words_)
-        p, q = c / total, self.count[self.order - 1][at] / below_total
-        context, first, number = distinct(self.keys[at])
-        add = lambda x: np.bincount(number, weights=x, minlength=len(context))
-        return context, self.total[-1][at][first], add(p), add((c - self.rule.discount) / total), add(q), add(p * np.log2(p / q))
+        q = self.count[self.order - 1][at] / below_total
+        context, first, number = distinct(self._cut(self.keys[at]))
+        add = lambda x=None: np.bincount(number, weights=x, minlength=len(context))
+        return context, self.total[-1][at][first], add(), add(c).astype(np.int64), add(q), add(c / total * np.log2(c / total / q))
 
     def contexts(self) -> np.ndarray:
-        return self.keys[self.open[-1]]
+        return self._cut(self.keys[self.open[-1]])
 
 
 # What chunks send: sorted keys of one order for one bucket, and what goes with them; kind is the order, or STATES.
@@ -200,11 +235,11 @@ STATES = 99
 TALLY = -1  # the chunk number of a bucket's own row: its distinct keys of a count above zero
 
 
-def _dealt(kind: int, chunk: int, keys: np.ndarray, bits: int, told: list[np.ndarray]) -> Iterator[tuple]:
+def _dealt(kind: int, chunk: int, keys: np.ndarray, bits: int, shift: int, counts: np.ndarray) -> Iterator[tuple]:
     cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         if j > i:
-            yield kind, b, chunk, _zip(pack_sorted(keys[i:j])), _zip(b"".join(x[i:j].tobytes() for x in told))
+            yield kind, b, chunk, pack_sorted(keys[i:j], shift), _zip(_planes(counts[i:j]))
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -216,8 +251,8 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _add_up(table: pa.Table) -> pa.Table:
     """A bucket's counts: each chunk is told the sums of its keys, and for which it is the one to speak."""
-    keys = [unpack_sorted(_unzip(x.as_py())) for x in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(_unzip(x.as_py()), dtype="<u4") for x in table.column("told")])
+    keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
+    counts = np.concatenate([_from_planes(_unzip(x.as_py()), len(k))[0] for x, k in zip(table.column("told"), keys, strict=True)])
     _, first, number = distinct(np.concatenate(keys))
     sums = np.bincount(number, weights=counts, minlength=len(first)).astype(np.int64)  # exact below 2**53
     speaks = np.zeros(len(number), dtype=bool)
@@ -226,56 +261,79 @@ def _add_up(table: pa.Table) -> pa.Table:
     rows, at = [(kind, bucket, TALLY, int((sums > 0).sum()).to_bytes(8, "little"))], 0
     for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
         mine = slice(at, at + len(k))
-        rows.append((kind, bucket, chunk, _zip(sums[number[mine]].astype("<i8").tobytes() + np.packbits(speaks[mine]).tobytes())))
+        rows.append((kind, bucket, chunk, _zip(len(k).to_bytes(4, "little") + _planes(sums[number[mine]]) + np.packbits(speaks[mine]).tobytes())))
         at += len(k)
     release()
     return pa.Table.from_batches([_rows(rows, ANSWER)])
 
 
 def _told_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """What :func:`_add_up` tells: eight bytes a key, then a bit a key."""
+    """What :func:`_add_up` tells: a count and a bit of each key."""
     data = _unzip(raw)
-    n = len(data) * 8 // 65
-    while 8 * n + -(-n // 8) < len(data):
-        n += 1
-    return np.frombuffer(data, dtype="<i8", count=n), np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8 * n), count=n).astype(bool)
+    n = int.from_bytes(data[:4], "little")
+    counts, at = _from_planes(data, n, 4)
+    return counts, np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=at), count=n).astype(bool)
+
+
+def _pack_sums(keys: np.ndarray, context: np.ndarray, total: np.ndarray, n: np.ndarray, c: np.ndarray, q: np.ndarray, gain: np.ndarray) -> bytes:
+    """Sums of contexts that are among ``keys``: which ones, then whole numbers, then the rest."""
+    which = np.zeros(len(keys), dtype=bool)
+    which[np.searchsorted(keys, context)] = True
+    return _zip(b"".join([np.packbits(which).tobytes(), *[_planes(x) for x in (total, n, c)], q.astype("<f4").tobytes(), gain.astype("<f4").tobytes()]))
+
+
+def _unpack_sums(keys: np.ndarray, told: bytes) -> tuple[np.ndarray, ...]:
+    raw = _unzip(told)
+    which = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=-(-len(keys) // 8)), count=len(keys)).astype(bool)
+    n, at, columns = int(which.sum()), -(-len(keys) // 8), []
+    for _ in range(3):
+        whole, at = _from_planes(raw, n, at)
+        columns.append(whole)
+    rest = np.frombuffer(raw, dtype="<f4", count=2 * n, offset=at).astype(np.float64)
+    return keys[which], *[x.astype(np.float64) for x in columns], rest[:n], rest[n:]
 
 
 def _decide(table: pa.Table, rule: Rule) -> pa.Table:
     """A bucket's contexts: sums over their pairs make states, and each chunk is told what its contexts leave to shorter ones
-    (above one: no state).  A chunk's row has the keys it asks for, and as told those it adds to, with the sums."""
-    parts, asked = [], []
-    for keys, told in zip(table.column("keys"), table.column("told"), strict=True):
-        asked.append(unpack_sorted(_unzip(keys.as_py())))
-        raw = _unzip(told.as_py())
-        parts.append(np.frombuffer(raw, dtype="<f8").reshape(6, -1))
-    joint = np.concatenate(parts, axis=1)
-    contexts, first, number = distinct(np.ascontiguousarray(joint[0]).view("<u8"))
-    add = lambda x: np.bincount(number, weights=x, minlength=len(contexts))
-    p, kept, q, gain = (add(x) for x in joint[2:])
-    total, left, rest = joint[1][first], np.maximum(1 - p, 0), np.maximum(1 - q, 1e-12)
+    (above one: no state).  A chunk's row has the keys it asks for, and as told the sums of those that it adds to."""
+    asked = [unpack_sorted(x.as_py()) for x in table.column("keys")]
+    parts = [_unpack_sums(keys, told.as_py()) for keys, told in zip(asked, table.column("told"), strict=True)]
+    context, total, n, c, q, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+    contexts, first, number = distinct(context)
+    n, c, q, gain = (np.bincount(number, weights=x, minlength=len(contexts)) for x in (n, c, q, gain))
+    total = total[first]
+    left, rest = np.maximum(1 - c / total, 0), np.maximum(1 - q, 1e-12)
     gain = gain + np.where(left > 0, left * np.log2(np.maximum(left, 1e-12) / rest), 0)
     state = total * gain >= rule.divergence
-    states, back = contexts[state], 1 - kept[state]
+    states, back = contexts[state], 1 - (c[state] - rule.discount * n[state]) / total[state]
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     rows = []
     for chunk, keys in zip(table.column("chunk").to_pylist(), asked, strict=True):
         at = np.minimum(np.searchsorted(states, keys), max(len(states) - 1, 0))
         hit = states[at] == keys if len(states) else np.zeros(len(keys), dtype=bool)
-        told = np.full(len(keys), 2.0)
-        told[hit] = back[at[hit]]
-        rows.append((kind, bucket, chunk, _zip(told.tobytes())))
+        rows.append((kind, bucket, chunk, _zip(len(keys).to_bytes(4, "little") + np.packbits(hit).tobytes() + back[at[hit]].tobytes())))
     release()
     return pa.Table.from_batches([_rows(rows, ANSWER)])
 
 
-def _opened(batch: pa.RecordBatch, rule: Rule, ends: int) -> Iterator[tuple[Chunk, dict[int, list[bytes]]]]:
-    """The chunks of a batch, grown as far as they have answers to, which come by kind and in order of bucket."""
+def _told_states(raw: bytes) -> np.ndarray:
+    """What :func:`_decide` tells, for each key: what the state leaves to shorter ones, or 2 for none."""
+    data = _unzip(raw)
+    n = int.from_bytes(data[:4], "little")
+    hit = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=-(-n // 8), offset=4), count=n).astype(bool)
+    out = np.full(n, 2.0)
+    out[hit] = np.frombuffer(data, dtype="<f8", offset=4 + -(-n // 8))
+    return out
+
+
+def _opened(batch: pa.RecordBatch, rule: Rule, ends: int, shift: int) -> Iterator[tuple[Chunk, dict[int, list[bytes]]]]:
+    """The chunks of a batch, with the answers to them by kind, in order of bucket."""
     for row in range(batch.num_rows):
         fields = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-        chunk, answers = Chunk(fields, rule), {}
-        for a in sorted(fields.get("answers") or [], key=lambda a: (a["kind"], a["bucket"])):
-            answers.setdefault(a["kind"], []).append(a["told"])
+        chunk, answers = Chunk(fields, rule, shift), {}
+        for name, told in fields.items():
+            if name.startswith("answers_") and told is not None:
+                answers[int(name[8:])] = [a["told"] for a in sorted(told, key=lambda a: a["bucket"])]
         if 0 in answers or not len(chunk.vocab):
             chunk.learn_words(_counts(answers.get(0, []))[0], ends)
         yield chunk, answers
@@ -287,41 +345,49 @@ def _counts(told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _with_answers(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    if not answers:
-        return chunks
-    every = answers[0]
-    for more in answers[1:]:
-        every = every.union(more)
-    per_chunk = every.where(F.col("chunk") != TALLY).groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "told")).alias("answers"))
-    return chunks.join(per_chunk, "chunk", "left")
+def _by_chunk(answers: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """Answers of a kind, bucketed as the chunks are, so that they move once."""
+    dealt = answers.where(F.col("chunk") != TALLY).repartition(buckets, "chunk")
+    kept = store_bucketed(dealt.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias(f"answers_{kind}")), "chunk", buckets, dealt=True)
+    forget_shuffles(answers.sparkSession)
+    return kept
+
+
+def _with(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    for more in answers:
+        chunks = chunks.join(more.hint("merge"), "chunk", "left")
+    return chunks
 
 
-def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: int = 8 << 20) -> DataFrame:  # noqa: B008
+def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: int = 4 << 20) -> DataFrame:  # noqa: B008
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
     fold = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
-    chunks = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out")), chunk_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
+    buckets = min(TURNS * rows.rdd.getNumPartitions(), MOST_BUCKETS)
+    chunks = chunked(rows, chunk_bytes, buckets)
     n_chunks, ends = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
     bits = max(3, (n_chunks // 4).bit_length())
+    shift = max(64 - max(bits + IN_BUCKET, IN_ALL), 0)
 
     def send(kind: int, known: list[DataFrame]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for chunk, answers in _opened(batch, rule, ends):
+                for chunk, answers in _opened(batch, rule, ends, shift):
                     if kind == 0:
-                        yield _rows(list(_dealt(0, chunk.number, chunk.vocab, bits, [chunk.word_counts().astype("<u4")])), SENT)
+                        yield _rows(list(_dealt(0, chunk.number, chunk.vocab, bits, 0, chunk.word_counts())), SENT)
                         continue
                     for order in range(1, kind):
                         chunk.grow()
                         chunk.learn_pairs(_counts(answers.get(order, []))[0])
                     chunk.grow()
-                    yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, [chunk.pair_counts().astype("<u4")])), SENT)
+                    yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, shift, chunk.pair_counts())), SENT)
 
-        sent = _with_answers(chunks, known).mapInArrow(run, SENT)
-        return store(sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t), ANSWER), "none")
+        sent = _with(chunks, known).mapInArrow(run, SENT)
+        return sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t), ANSWER)
 
-    answers = [send(0, [])]
-    vocabulary = sum(int.from_bytes(r["told"], "little") for r in answers[0].where(F.col("chunk") == TALLY).select("told").collect())  # a row a bucket
+    first = store(send(0, []), "none")
+    vocabulary = sum(int.from_bytes(r["told"], "little") for r in first.where(F.col("chunk") == TALLY).select("told").collect())  # a row a bucket
+    answers = [_by_chunk(first, 0, buckets)]
     distinct_tokens = vocabulary + (1 if ends else 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +396,11 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
 
     total = chunks.select("sizes", "held").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     for order in range(1, rule.depth + 1):
-        answers.append(send(order, answers))
+        answers.append(_by_chunk(send(order, answers), order, buckets))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, known in _opened(batch, rule, ends):
+            for chunk, known in _opened(batch, rule, ends, shift):
                 asked, sums = [], []
                 for order in range(1, rule.depth + 1):
                     chunk.grow()
@@ -345,28 +411,26 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 keys = np.unique(np.concatenate(asked))
                 context, *rest = (np.concatenate(x) for x in zip(*sums, strict=True))
                 order_ = np.argsort(context)
-                context, rest = context[order_], [x[order_].astype("<f8") for x in rest]
+                context, rest = context[order_], [x[order_] for x in rest]
                 ends_ = np.arange((1 << bits) + 1, dtype=np.uint64)
                 cut, own = (np.searchsorted(x >> np.uint64(64 - bits), ends_) for x in (keys, context))
                 rows = []
-                for b in range(1 << bits):  # a context that a chunk adds to is one that it asks for
-                    k, o = slice(cut[b], cut[b + 1]), slice(own[b], own[b + 1])
-                    if cut[b + 1] > cut[b]:
-                        told = np.stack([np.ascontiguousarray(context[o]).view("<f8"), *[x[o] for x in rest]])
-                        rows.append((STATES, b, chunk.number, _zip(pack_sorted(keys[k])), _zip(told.tobytes())))
+                for b in np.flatnonzero(np.diff(cut)).tolist():  # a context that a chunk adds to is one that it asks for
+                    k, o = keys[cut[b] : cut[b + 1]], slice(own[b], own[b + 1])
+                    rows.append((STATES, b, chunk.number, pack_sorted(k, shift), _pack_sums(k, context[o], *[x[o] for x in rest])))
                 yield _rows(rows, SENT)
 
-    asked = _with_answers(chunks, answers).mapInArrow(ask, SENT)
-    answers.append(store(asked.groupBy("bucket").applyInArrow(lambda t: _decide(t, rule), ANSWER), "none"))
+    asked = _with(chunks, answers).mapInArrow(ask, SENT)
+    answers.append(_by_chunk(asked.groupBy("bucket").applyInArrow(lambda t: _decide(t, rule), ANSWER), STATES, buckets))
     scale = total + ALPHA * (distinct_tokens + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, known in _opened(batch, rule, ends):
+            for chunk, known in _opened(batch, rule, ends, shift):
                 starts = np.cumsum(chunk.sizes) - chunk.sizes
                 p = (chunk.count[0] + ALPHA) / scale
                 base, found = np.add.reduceat(np.log10(p), starts), np.add.reduceat((chunk.count[0] > 0).astype(np.int64), starts)
-                told = [np.frombuffer(_unzip(x), dtype="<f8") for x in known.get(STATES, [])]
+                told = [_told_states(x) for x in known.get(STATES, [])]
                 if told:
                     p = _from_states(chunk, known, np.concatenate(told), p)
                 yield pa.RecordBatch.from_arrays(
@@ -374,7 +438,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return _with_answers(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _from_states(chunk: Chunk, known: dict[int, list[bytes]], back: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -113,11 +113,13 @@ def test_what_is_kept_grows_with_the_corpus(spark):
 
 def test_keys_travel_whole():
     rng = np.random.default_rng(7)
-    for keys in (np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64)), np.array([5], dtype=np.uint64), np.arange(9, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64), np.zeros(0, np.uint64)):
+    for keys in (np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64)), np.array([5], dtype=np.uint64), np.arange(9, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64)):
         assert np.array_equal(suffix_tree.unpack_sorted(suffix_tree.pack_sorted(keys)), keys)
+        cut = np.unique((keys >> np.uint64(13)) << np.uint64(13))
+        assert np.array_equal(suffix_tree.unpack_sorted(suffix_tree.pack_sorted(cut, 13)), cut)
     for n in (1, 7, 8, 9, 63, 64, 65, 1000):
         flags = rng.integers(0, 2, n).astype(bool)
-        counts, speaks = suffix_tree._told_counts(suffix_tree._zip(np.arange(n).astype("<i8").tobytes() + np.packbits(flags).tobytes()))
+        counts, speaks = suffix_tree._told_counts(suffix_tree._zip(n.to_bytes(4, "little") + suffix_tree._planes(np.arange(n)) + np.packbits(flags).tobytes()))
         assert np.array_equal(counts, np.arange(n)) and np.array_equal(speaks, flags)
     keys = rng.integers(0, 50, 400).astype(np.uint64)
     found, first, number = suffix_tree.distinct(keys)
@@ -137,3 +139,15 @@ def test_a_very_long_text(spark):
     long = " ".join(f"w{k * k % 7919}" for k in range(400_000))
     got = {r["doc_id"]: r for r in suffix_tree.scores(spark.createDataFrame([(1, long, "en", "s", 1), (2, "w1 w4 w9", "en", "s", 1)], fx.COLUMNS), chunk_bytes=1 << 20).collect()}
     assert got[1]["n_tokens"] == 400_001 and got[1]["score"] > got[1]["base_score"] and got[2]["n_tokens"] == 4
+
+
+def test_numbers_lie_in_the_buckets_that_spark_gives_them(spark):
+    from itertools import islice
+
+    from pyspark.sql import functions as F
+
+    from brindle.llm.shared import bucket_of, numbers_for
+
+    numbers = [0, 1, -1 % 2**62, 2**40 + 7, *islice(numbers_for(3, 13, 4), 40)]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(F.pmod(F.hash("n"), F.lit(13))).collect()]
+    assert got == bucket_of(np.array(numbers), 13).tolist() and got[4:8] == [12, 0, 1, 2] and len(set(numbers)) == len(numbers)
