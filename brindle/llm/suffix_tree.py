@@ -249,15 +249,15 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """A bucket's counts: each chunk is told the sums of its keys, and for which it is the one to speak."""
+def _add_up(table: pa.Table, rule: Rule) -> pa.Table:
+    """A bucket's counts: each chunk is told the sums of its keys, and for which pairs, if frequent enough, it is to speak."""
     keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
     counts = np.concatenate([_from_planes(_unzip(x.as_py()), len(k))[0] for x, k in zip(table.column("told"), keys, strict=True)])
     _, first, number = distinct(np.concatenate(keys))
     sums = np.bincount(number, weights=counts, minlength=len(first)).astype(np.int64)  # exact below 2**53
-    speaks = np.zeros(len(number), dtype=bool)
-    speaks[first] = True
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    speaks = np.zeros(len(number), dtype=bool)
+    speaks[first] = (sums >= rule.least_next) & (kind > 0)
     rows, at = [(kind, bucket, TALLY, int((sums > 0).sum()).to_bytes(8, "little"))], 0
     for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
         mine = slice(at, at + len(k))
@@ -294,8 +294,8 @@ def _unpack_sums(keys: np.ndarray, told: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _decide(table: pa.Table, rule: Rule) -> pa.Table:
-    """A bucket's contexts: sums over their pairs make states, and each chunk is told what its contexts leave to shorter ones
-    (above one: no state).  A chunk's row has the keys it asks for, and as told the sums of those that it adds to."""
+    """A bucket's contexts: sums over their pairs make states, and each chunk is told those of its contexts that are, with
+    what they keep.  A chunk's row has the keys it asks for, and as told the sums of those that it adds to."""
     asked = [unpack_sorted(x.as_py()) for x in table.column("keys")]
     parts = [_unpack_sums(keys, told.as_py()) for keys, told in zip(asked, table.column("told"), strict=True)]
     context, total, n, c, q, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -305,24 +305,25 @@ def _decide(table: pa.Table, rule: Rule) -> pa.Table:
     left, rest = np.maximum(1 - c / total, 0), np.maximum(1 - q, 1e-12)
     gain = gain + np.where(left > 0, left * np.log2(np.maximum(left, 1e-12) / rest), 0)
     state = total * gain >= rule.divergence
-    states, back = contexts[state], 1 - (c[state] - rule.discount * n[state]) / total[state]
+    states, c, n = contexts[state], c[state].astype(np.int64), n[state].astype(np.int64)
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     rows = []
     for chunk, keys in zip(table.column("chunk").to_pylist(), asked, strict=True):
         at = np.minimum(np.searchsorted(states, keys), max(len(states) - 1, 0))
         hit = states[at] == keys if len(states) else np.zeros(len(keys), dtype=bool)
-        rows.append((kind, bucket, chunk, _zip(len(keys).to_bytes(4, "little") + np.packbits(hit).tobytes() + back[at[hit]].tobytes())))
+        rows.append((kind, bucket, chunk, _zip(len(keys).to_bytes(4, "little") + np.packbits(hit).tobytes() + _planes(c[at[hit]]) + _planes(n[at[hit]]))))
     release()
     return pa.Table.from_batches([_rows(rows, ANSWER)])
 
 
 def _told_states(raw: bytes) -> np.ndarray:
-    """What :func:`_decide` tells, for each key: what the state leaves to shorter ones, or 2 for none."""
+    """What :func:`_decide` tells, for each key: its state's sum of counts and number of pairs; a state has pairs."""
     data = _unzip(raw)
     n = int.from_bytes(data[:4], "little")
     hit = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=-(-n // 8), offset=4), count=n).astype(bool)
-    out = np.full(n, 2.0)
-    out[hit] = np.frombuffer(data, dtype="<f8", offset=4 + -(-n // 8))
+    out, at = np.zeros((2, n), dtype=np.int64), 4 + -(-n // 8)
+    for k in range(2):
+        out[k, hit], at = _from_planes(data, int(hit.sum()), at)
     return out
 
 
@@ -366,7 +367,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
     buckets = min(TURNS * rows.rdd.getNumPartitions(), MOST_BUCKETS)
     chunks = chunked(rows, chunk_bytes, buckets)
     n_chunks, ends = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
-    bits = max(3, (n_chunks // 4).bit_length())
+    bits = max(3, (n_chunks // 16).bit_length())  # some millions of keys a bucket
     shift = max(64 - max(bits + IN_BUCKET, IN_ALL), 0)
 
     def send(kind: int, known: list[DataFrame]) -> DataFrame:
@@ -383,7 +384,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                     yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, shift, chunk.pair_counts())), SENT)
 
         sent = _with(chunks, known).mapInArrow(run, SENT)
-        return sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t), ANSWER)
+        return sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t, rule), ANSWER)
 
     first = store(send(0, []), "none")
     vocabulary = sum(int.from_bytes(r["told"], "little") for r in first.where(F.col("chunk") == TALLY).select("told").collect())  # a row a bucket
@@ -432,7 +433,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 base, found = np.add.reduceat(np.log10(p), starts), np.add.reduceat((chunk.count[0] > 0).astype(np.int64), starts)
                 told = [_told_states(x) for x in known.get(STATES, [])]
                 if told:
-                    p = _from_states(chunk, known, np.concatenate(told), p)
+                    p = _from_states(chunk, known, np.concatenate(told, axis=1), p)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes.astype(np.int64)), pa.array(found), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -441,7 +442,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
     return _with(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _from_states(chunk: Chunk, known: dict[int, list[bytes]], back: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _from_states(chunk: Chunk, known: dict[int, list[bytes]], states: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Each token's probability by its longest suffix state, shorter ones taking what it leaves; p: the root's."""
     asked, rule = [], chunk.rule
     for order in range(1, rule.depth + 1):
@@ -452,10 +453,10 @@ def _from_states(chunk: Chunk, known: dict[int, list[bytes]], back: np.ndarray,
     at = 0
     for order in range(1, rule.depth + 1):
         here = np.flatnonzero(chunk.open[order - 1])
-        left = back[number[at : at + len(here)]]
+        kept, pairs = states[:, number[at : at + len(here)]]
         at += len(here)
-        here, left = here[left <= 1], left[left <= 1]
-        c = chunk.count[order][here]
-        own = np.where(c >= rule.least_next, (c - rule.discount) / chunk.total[order - 1][here], 0)
-        p[here] = own + left * p[here]
+        here, kept, pairs = here[pairs > 0], kept[pairs > 0], pairs[pairs > 0]
+        c, total = chunk.count[order][here], chunk.total[order - 1][here]
+        own = np.where(c >= rule.least_next, (c - rule.discount) / total, 0)
+        p[here] = own + (1 - (kept - rule.discount * pairs) / total) * p[here]
     return p
