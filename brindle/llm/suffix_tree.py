@@ -276,10 +276,11 @@ def _told_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack_sums(keys: np.ndarray, context: np.ndarray, total: np.ndarray, n: np.ndarray, c: np.ndarray, q: np.ndarray, gain: np.ndarray) -> bytes:
-    """Sums of contexts that are among ``keys``: which ones, then whole numbers, then the rest."""
+    """Sums of contexts that are among ``keys``: which ones, then whole numbers, then the rest; one pair's divergence follows
+    from the others."""
     which = np.zeros(len(keys), dtype=bool)
     which[np.searchsorted(keys, context)] = True
-    return _zip(b"".join([np.packbits(which).tobytes(), *[_planes(x) for x in (total, n, c)], q.astype("<f4").tobytes(), gain.astype("<f4").tobytes()]))
+    return _zip(b"".join([np.packbits(which).tobytes(), *[_planes(x) for x in (total, n, c)], q.astype("<f4").tobytes(), gain[n > 1].astype("<f4").tobytes()]))
 
 
 def _unpack_sums(keys: np.ndarray, told: bytes) -> tuple[np.ndarray, ...]:
@@ -289,8 +290,12 @@ def _unpack_sums(keys: np.ndarray, told: bytes) -> tuple[np.ndarray, ...]:
     for _ in range(3):
         whole, at = _from_planes(raw, n, at)
         columns.append(whole)
-    rest = np.frombuffer(raw, dtype="<f4", count=2 * n, offset=at).astype(np.float64)
-    return keys[which], *[x.astype(np.float64) for x in columns], rest[:n], rest[n:]
+    rest = np.frombuffer(raw, dtype="<f4", offset=at).astype(np.float64)
+    total, pairs, c = (x.astype(np.float64) for x in columns)
+    q, p = rest[:n], c / total
+    gain = p * np.log2(p / q)
+    gain[pairs > 1] = rest[n:]
+    return keys[which], total, pairs, c, q, gain
 
 
 def _decide(table: pa.Table, rule: Rule) -> pa.Table:
@@ -338,6 +343,7 @@ def _opened(batch: pa.RecordBatch, rule: Rule, ends: int, shift: int) -> Iterato
         if 0 in answers or not len(chunk.vocab):
             chunk.learn_words(_counts(answers.get(0, []))[0], ends)
         yield chunk, answers
+        del chunk, answers, fields  # before the next is opened
     release()
 
 
@@ -376,12 +382,14 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 for chunk, answers in _opened(batch, rule, ends, shift):
                     if kind == 0:
                         yield _rows(list(_dealt(0, chunk.number, chunk.vocab, bits, 0, chunk.word_counts())), SENT)
+                        del chunk, answers
                         continue
                     for order in range(1, kind):
                         chunk.grow()
                         chunk.learn_pairs(_counts(answers.get(order, []))[0])
                     chunk.grow()
                     yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, shift, chunk.pair_counts())), SENT)
+                    del chunk, answers
 
         sent = _with(chunks, known).mapInArrow(run, SENT)
         return sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t, rule), ANSWER)
@@ -419,6 +427,7 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 for b in np.flatnonzero(np.diff(cut)).tolist():  # a context that a chunk adds to is one that it asks for
                     k, o = keys[cut[b] : cut[b + 1]], slice(own[b], own[b + 1])
                     rows.append((STATES, b, chunk.number, pack_sorted(k, shift), _pack_sums(k, context[o], *[x[o] for x in rest])))
+                del chunk, known, asked, sums, keys, context, rest
                 yield _rows(rows, SENT)
 
     asked = _with(chunks, answers).mapInArrow(ask, SENT)
@@ -434,10 +443,9 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 told = [_told_states(x) for x in known.get(STATES, [])]
                 if told:
                     p = _from_states(chunk, known, np.concatenate(told, axis=1), p)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes.astype(np.int64)), pa.array(found), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                scored = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes.astype(np.int64)), pa.array(found), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))]
+                del chunk, known, told, p
+                yield pa.RecordBatch.from_arrays(scored, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _with(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
