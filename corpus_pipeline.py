@@ -12,13 +12,11 @@ rows and empty tables have the results that each operator's docstring states.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import language, minmax, mixing, packing, secrets
 from brindle.llm.queries import tokenizer_files
-from brindle.llm.shared import shared_folder
+from brindle.llm.shared import folder
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; each result is written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over ``documents``; each result is written as Parquet and read again as the next one's input.
+
+    The files lie in the shared folder and go when the driver's Python ends.
+    """
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), folder(spark, "pipeline")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
     return docs
