@@ -85,7 +85,8 @@ def _entries(events):
 def _headers(events):
     per = log.segments(_numbered(events), 1024)
     raw = log.segment_header(F.col("segment").cast("int"), F.col("first_lsn"), F.col("last_lsn"), F.col("records").cast("int"))
-    return per.select(log.decode_header(F.substring(raw, 1, 20), raw).alias("h")).select("h.*")
+    stored = scratch.store(per.select(raw.alias("raw")))  # as on disk; else the planner repeats the whole in each field's expression
+    return stored.select(log.decode_header(F.substring("raw", 1, 20), F.col("raw")).alias("h")).select("h.*")
 
 
 LSN = "(SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS lsn FROM events)"
