@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample (``sample`` vectors of smallest hash); every vector is then put into its leaf.
+The tree is fitted on a bounded sample (``sample`` vectors of smallest hash, at most 64 MB); every vector is then put into its leaf.
 For inner products vectors get one more component, which makes all as long as the longest: the nearest are then those
 of largest inner product.  A query keeps a priority queue of tree nodes by distance to their centres and opens the
 nearest until it has visited as many leaves as calibration asked for: on sample queries with known neighbours among
 the half of the sample that the tree was not fitted to, the least number that finds ``recall`` of them.  With vectors of no structure that may be most leaves.
 
-Leaves are cut into blocks of about ``block`` vectors, so that one large leaf (a vector that a third of the rows share)
-is many tasks' work.  Scores are exact inner products in double precision; a query's kth best among the
+Neighbouring leaves share a bin of at most ``block`` vectors, to which a bundle of queries goes once, each with the bits
+of the leaves it opens; a leaf above that (a vector that a third of the rows share) is cut by hash and many tasks' work.  Scores are exact inner products in double precision; a query's kth best among the
 sample's vectors in its leaves bounds its kth best of all found from below, so a block reports only what reaches that, at most k a query.
 
 Defined results: rows without a usable vector (see :mod:`vectors`) take no part; a query's own row does not count; rows
@@ -97,6 +97,20 @@ class Tree:
         return out
 
 
+SAMPLE_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+LEAST_BINS = 32  # so that small tables are shared out too
+
+
+def bins(held: np.ndarray, room: int) -> np.ndarray:
+    """The bin of each leaf, by the leaves' numbers of vectors: leaves in turn, up to ``room`` vectors, or one leaf that has more."""
+    out, used = np.zeros(len(held), dtype=np.int64), 0
+    for leaf, n in enumerate(held.tolist()):
+        new = leaf > 0 and used + n > room
+        out[leaf] = out[leaf - 1] + new if leaf else 0
+        used = n if new else used + n
+    return out
+
+
 def calibrated(tree: Tree, x: np.ndarray, plain: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
     """Leaves to visit so that ``recall`` of the k best of sample queries among the sample are found."""
     leaf = tree.assign(x)
@@ -116,13 +130,15 @@ def calibrated(tree: Tree, x: np.ndarray, plain: np.ndarray, k: int, recall: flo
     return int(every[min(int(np.ceil(recall * len(every))), len(every)) - 1])
 
 
-def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Column, k: int = 20, sample: int = 20_000, leaf_size: int = 128, recall: float = 0.97, block: int = 512) -> DataFrame:
+def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Column, k: int = 20, sample: int = 20_000, leaf_size: int = 128, recall: float = 0.97, block: int = 8192) -> DataFrame:
     """(query_id, rank, id, score); ``queries``: a condition on column id."""
     spark = table.sparkSession
     rows = store(clean(table, id_column, vector_column).dropDuplicates(["id"]))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    width = len(rows.select("raw").first()["raw"]) // 8
+    sample = max(min(sample, SAMPLE_BYTES // (8 * width)), 1)
     # about twice the sample's size passes the bound; the exact size is then taken in order of hash
     order = F.xxhash64(F.lit(3), "id")
     bound = -(2**63) + min(2 * sample * 2**64 // n, 2**64 - 1)
@@ -150,52 +166,71 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
     placed = store(rows.mapInArrow(tidy(place), "id long, raw binary, leaf int"))
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("n"))
     held = np.zeros(tree.leaves, dtype=np.int64)
-    for r in sizes.collect():  # one row a leaf
-        held[r["leaf"]] = r["n"]
-    held_by = spark.sparkContext.broadcast(held)
-    blocked = placed.join(F.broadcast(sizes.drop("n")), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))  # one row a leaf
+    for r in placed.groupBy("leaf").count().collect():  # one row a leaf
+        held[r["leaf"]] = r["count"]
+    room = max(min(block, BLOCK_BYTES // (8 * width), n // LEAST_BINS), 1)
+    bin_of = bins(held, room)
+    ends = np.searchsorted(bin_of, np.arange(bin_of[-1] + 2))  # of each bin's leaves
+    cuts = -(-held // room)  # above 1 only for a leaf that is a bin of its own
+    known = spark.sparkContext.broadcast((held, ends, np.array([max(cuts[a:b].max(), 1) if b - a == 1 else 1 for a, b in zip(ends[:-1], ends[1:], strict=True)])))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.searchsorted(known.value[1], batch.column("leaf").to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(known.value[2][of])], [*batch.schema.names, "bin", "cuts"])
+
+    dealt = placed.mapInArrow(deal, "id long, raw binary, leaf int, bin int, cuts long").withColumn("block", F.pmod(F.xxhash64("id"), "cuts").cast("int"))
 
     def gather(of: pa.Table) -> pa.Table:
-        ids = np.concatenate([c.to_numpy() for c in of.column("id").chunks])
-        return pa.table({"leaf": of.column("leaf").slice(0, 1), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "rows": pa.array([b"".join(of.column("raw").to_pylist())], pa.binary())})
+        of = of.select(["bin", "block", "leaf", "id", "raw"]).sort_by("leaf")
+        packed = [of.column(c).to_numpy().astype(t).tobytes() for c, t in (("leaf", "<i4"), ("id", "<i8"))] + [b"".join(of.column("raw").to_pylist())]
+        return pa.table({**{c: of.column(c).slice(0, 1) for c in ("bin", "block")}, **{c: pa.array([x], pa.binary()) for c, x in zip(("leaves", "ids", "rows"), packed, strict=True)}})
 
-    blocks = blocked.groupBy("leaf", "block").applyInArrow(gather, "leaf int, ids binary, rows binary")
+    blocks = dealt.select("bin", "block", "leaf", "id", "raw").groupBy("bin", "block").applyInArrow(gather, "bin int, block int, leaves binary, ids binary, rows binary")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_, plain_, ids_, leaf_of = shared.value
+        held_, ends_, cuts_ = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 q, ids = matrix(part.column("raw")), part.column("id").to_numpy()
-                scores = q @ plain_.T
-                scores[ids[:, None] == ids_[None, :]] = -np.inf
-                going: dict[int, list[int]] = {}
+                opened = np.zeros((len(q), tree_.leaves), dtype=bool)
                 for i, query in enumerate(q):
-                    seen = tree_.visit(np.append(query, 0.0), visits, held_by.value, k + 1)  # the query itself may be one
-                    for leaf in seen:
-                        going.setdefault(leaf, []).append(i)
-                    scores[i, ~np.isin(leaf_of, seen)] = -np.inf
+                    opened[i, tree_.visit(np.append(query, 0.0), visits, held_, k + 1)] = True  # the query itself may be one
+                scores = q @ plain_.T
+                scores[(ids[:, None] == ids_[None, :]) | ~opened[:, leaf_of]] = -np.inf
                 floor = np.partition(scores, len(ids_) - k, axis=1)[:, len(ids_) - k] if len(ids_) > k else np.full(len(ids), -np.inf)
-                leaves = list(going)
-                pick = [np.array(going[x]) for x in leaves]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves, pa.int32()), *[pa.array([a[p].tobytes() for p in pick], pa.binary()) for a in (ids.astype("<i8"), floor, q)]], ["leaf", "query_ids", "floors", "queries"]
-                )
+                told = []
+                for b, (first, last) in enumerate(zip(ends_[:-1].tolist(), ends_[1:].tolist(), strict=True)):
+                    pick = np.flatnonzero(opened[:, first:last].any(axis=1))
+                    if len(pick):
+                        told.append((b, int(cuts_[b]), *[x[pick].tobytes() for x in (ids.astype("<i8"), floor, q)], np.packbits(opened[pick, first:last]).tobytes()))
+                columns = list(zip(*told, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], ["bin", "cuts", "query_ids", "floors", "queries", "opened"])
 
-    asked = rows.where(queries).mapInArrow(tidy(ask), "leaf int, query_ids binary, floors binary, queries binary")
+    asked = rows.where(queries).mapInArrow(tidy(ask), "bin int, cuts int, query_ids binary, floors binary, queries binary, opened binary")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = {c: batch.column(c)[row].as_buffer() for c in ("ids", "rows", "query_ids", "floors", "queries")}
-                ids, query_ids = (np.frombuffer(raw[c], dtype="<i8") for c in ("ids", "query_ids"))
-                floors = np.frombuffer(raw["floors"], dtype="<f8")
-                v, q = np.frombuffer(raw["rows"], dtype="<f8").reshape(len(ids), -1), np.frombuffer(raw["queries"], dtype="<f8").reshape(len(query_ids), -1)
-                scores = q @ v.T
-                # the product of matrices may round otherwise than the sample's did
-                i, j = np.nonzero((scores >= floors[:, None] - 1e-9 * (1 + np.abs(floors[:, None]))) & (query_ids[:, None] != ids[None, :]))
+                raw = {c: batch.column(c)[row].as_buffer() for c in batch.schema.names if c != "bin"}
+                first, last = known.value[1][batch.column("bin")[row].as_py() :][:2].tolist()
+                leaf, ids, query_ids, floors = (np.frombuffer(raw[c], dtype=t) for c, t in (("leaves", "<i4"), ("ids", "<i8"), ("query_ids", "<i8"), ("floors", "<f8")))
+                v, q = (np.frombuffer(raw[c], dtype="<f8").reshape(m, -1) for c, m in (("rows", len(ids)), ("queries", len(query_ids))))
+                opened = np.unpackbits(np.frombuffer(raw["opened"], dtype=np.uint8), count=len(q) * (last - first)).reshape(len(q), -1).astype(bool)
+                floors = floors - 1e-9 * (1 + np.abs(floors))  # the product of matrices may round otherwise than the sample's did
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+                starts = np.flatnonzero(np.diff(leaf, prepend=-1))
+                for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
+                    asks = np.flatnonzero(opened[:, leaf[a] - first])
+                    i, j = np.nonzero(q[asks] @ v[a:z].T >= floors[asks, None])
+                    met.append((asks[i], j + a))
+                i, j = (np.concatenate(x) for x in zip(*met, strict=True))
+                other = query_ids[i] != ids[j]
+                i, j = i[other], j[other]
                 exact = np.einsum("ij,ij->i", q[i], v[j])
                 best = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[best], j[best], exact[best]
@@ -203,7 +238,8 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, queries: F.Col
                 keep = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], ["query_id", "id", "score"])
 
-    found = blocks.join(asked, "leaf").select("ids", "rows", "query_ids", "floors", "queries").mapInArrow(tidy(scan), "query_id long, id long, score double")
+    # a key has one block, which the join holds while bundles of queries pass
+    found = asked.join(blocks, ["bin", "block"]).drop("block").mapInArrow(tidy(scan), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "id", "score")
