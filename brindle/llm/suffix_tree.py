@@ -11,7 +11,8 @@ are counts and bits, the same at every size of the corpus, and no count or state
 Nothing that grows is broadcast or collected.  Texts are kept by chunks of a few megabytes as word numbers into the chunk's
 sorted word hashes.  For each order a chunk sends the hashes of its distinct (context, next) pairs with their training
 counts, dealt to buckets by hash; a bucket's task adds up and answers every chunk with the totals, in the order of what it
-sent.  An order's contexts are known by the order below, so only pairs that can matter are sent.  One chunk in which a pair
+sent.  An order's contexts are known by the order below, and a pair is no more frequent than the one a word shorter, so only pairs
+that can matter are sent.  One chunk in which a pair
 occurs then adds it to its context's sums, contexts being dealt likewise, and is told which contexts are states.  A hot
 word, pair or context is one entry a chunk.  Words are told apart by 64-bit hashes, alike in A-Z and a-z, pairs and contexts by 48
 bits or more.
@@ -197,7 +198,7 @@ class Chunk:
         self.keys = mix(self.keys * _STEP + older + np.uint64(k))
         self.total.append(total)
         self.open.append(open_)
-        self.sent = np.flatnonzero(open_ & (self.count[0] >= self.rule.least_next))
+        self.sent = np.flatnonzero(open_ & (self.count[k - 1] >= self.rule.least_next))  # no pair is more frequent than its shorter one
         self.pairs, self.first, self.numbers = distinct(self._cut(mix(self.keys[self.sent] ^ (self.hash[self.sent] * _NEXT))))
 
     def _cut(self, keys: np.ndarray) -> np.ndarray:
