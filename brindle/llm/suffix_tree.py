@@ -193,14 +193,25 @@ class Chunk:
         open_ = total >= self.rule.least_context
         self.same = open_ & (total == self.total[-1]) if k > 1 else np.zeros(n, dtype=bool)
         open_ &= ~self.same
+        may = open_ & self._may_diverge(total, self.total[-1]) if k > 1 else open_
         older = np.zeros(n, dtype=np.uint64)
         older[k:] = self.hash[: n - k] if k < n else older[k:]
         self.keys = mix(self.keys * _STEP + older + np.uint64(k))
         self.total.append(total)
-        self.open.append(open_)
-        self.sent = np.flatnonzero(open_ & (self.count[k - 1] >= self.rule.least_next))  # no pair is more frequent than its shorter one
+        self.open.append(may)
+        counted = may if k == self.rule.depth else open_  # shorter ones' pairs are longer contexts too
+        self.sent = np.flatnonzero(counted & (self.count[k - 1] >= self.rule.least_next))  # no pair is more frequent than its shorter one
         self.pairs, self.first, self.numbers = distinct(self._cut(mix(self.keys[self.sent] ^ (self.hash[self.sent] * _NEXT))))
 
+    def _may_diverge(self, total: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Whether a context's divergence can reach the threshold.
+
+        What occurs in a context occurs in its shorter one too, so no share exceeds that one's by more than the ratio of
+        their counts, of whose logarithm the divergence is at most.
+        """
+        t = np.maximum(total, 1).astype(np.float64)
+        return t * np.log2(np.maximum(below, 1) / t) >= self.rule.divergence - 1e-3
+
     def _cut(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> self.shift) << self.shift
 
@@ -217,7 +228,7 @@ class Chunk:
         """Over the owned pairs of this order that are frequent enough: (context, its count, and the pairs' number, sum of
         counts, sum of shares of the shorter context, and sum of divergence)."""
         at = self.sent[self.first[owned]]
-        at = at[self.count[-1][at] >= self.rule.least_next]
+        at = at[(self.count[-1][at] >= self.rule.least_next) & self.open[-1][at]]
         c, total = self.count[-1][at].astype(np.float64), self.total[-1][at].astype(np.float64)
         below_total = self.total[-2][at] if self.order > 1 else np.full(len(at), words_)
         q = self.count[self.order - 1][at] / below_total
