@@ -76,6 +76,18 @@ def test_tree_search_opens_leaves_until_k_are_met(spark, n, k):
     assert got == [min(k, n - 1)] * (n // 20)
 
 
+def test_bins_hold_neighbouring_leaves_up_to_their_room():
+    assert kmeans_tree.bins(np.array([3, 4, 3, 25, 0, 10, 1, 9]), 10).tolist() == [0, 0, 0, 1, 2, 2, 3, 3]
+    assert kmeans_tree.bins(np.array([25, 1]), 10).tolist() == [0, 1] and kmeans_tree.bins(np.array([0, 0]), 10).tolist() == [0, 0]
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        held, room = rng.integers(0, 12, 40), int(rng.integers(1, 15))
+        bin_of = kmeans_tree.bins(held, room)
+        assert set(np.diff(bin_of)) <= {0, 1} and bin_of[0] == 0
+        for b in range(bin_of[-1] + 1):
+            assert held[bin_of == b].sum() <= room or (bin_of == b).sum() == 1
+
+
 def test_values_met_by_lookup_and_by_comparison():
     import numpy as np
 
