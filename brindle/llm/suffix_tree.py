@@ -13,8 +13,9 @@ sorted word hashes.  For each order a chunk sends the hashes of its distinct (co
 counts, dealt to buckets by hash; a bucket's task adds up and answers every chunk with the totals, in the order of what it
 sent.  An order's contexts are known by the order below, and a pair is no more frequent than the one a word shorter, so only pairs
 that can matter are sent.  One chunk in which a pair
-occurs then adds it to its context's sums, contexts being dealt likewise, and is told which contexts are states.  A hot
-word, pair or context is one entry a chunk.  Words are told apart by 64-bit hashes, alike in A-Z and a-z, pairs and contexts by 48
+occurs then adds it to its context's sums, contexts being dealt likewise, and is told which contexts are states; an order's
+sums go with the next order's pairs, the first order's last of all, so that no step moves those of all orders.  A hot word,
+pair or context is one entry a chunk.  Words are told apart by 64-bit hashes, alike in A-Z and a-z, pairs and contexts by 48
 bits or more.
 
 Defined results: a null text counts as empty (its end alone is scored); a null doc_id belongs to no fold and is
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MOST_BUCKETS, crc_bucket, forget_shuffles, numbers_for, release, store, store_bucketed, tidy
+from .shared import MOST_BUCKETS, crc_bucket, discard, forget_shuffles, numbers_for, release, store, store_bucketed, tidy
 from .wordhash import chunks as blocks
 from .wordhash import column_bytes, mix, words
 
@@ -63,6 +64,35 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _split(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of all, compressed."""
+    return _zip(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
+
+
+def _join(raw: bytes, kind: str) -> np.ndarray:
+    """What :func:`_split` was given."""
+    planes = np.frombuffer(_unzip(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_tokens(vocab: np.ndarray, stream: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted words, and per token its word's number, len(vocab) being the end.  Frequent words get small numbers, the end
+    none, and words as frequent stand in order, as their gaps."""
+    often = np.bincount(stream, minlength=len(vocab) + 1)[:-1]
+    order = np.lexsort((vocab, -often))
+    rank = np.zeros(len(vocab) + 1, dtype="<i4")
+    rank[order] = np.arange(1, len(vocab) + 1)
+    return _split(np.diff(vocab[order], prepend=np.uint64(0)).astype("<u8")), _split(rank[stream])
+
+
+def unpack_tokens(vocab: bytes, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words_ = np.cumsum(_join(vocab, "<u8"), dtype=np.uint64)  # gaps and sums wrap around
+    order = np.argsort(words_)
+    number = np.full(len(words_) + 1, len(words_), dtype="<i4")
+    number[order + 1] = np.arange(len(words_))
+    return words_[order], number[_join(stream, "<i4")]
+
+
 def pack_sorted(keys: np.ndarray, shift: int = 0) -> bytes:
     """Sorted uint64, their last ``shift`` bits being none, as the first and the gaps, byte by byte of all, compressed."""
     gaps = np.diff(keys >> np.uint64(shift))
@@ -106,8 +136,8 @@ TURNS = 2  # buckets a partition, so that a bucket has few chunks
 
 
 def chunked(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
-    """CHUNKS of rows (doc_id, held_out, text).  stream: per token its word's number in vocab, len(vocab) being the end;
-    sizes: tokens of each text, its end included."""
+    """CHUNKS of rows (doc_id, held_out, text).  vocab, stream: as by :func:`pack_tokens`; sizes: tokens of each text, its
+    end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,7 +153,7 @@ def chunked(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
             word = np.ones(len(stream), dtype=bool)
             word[ends] = False
             stream[word] = number
-            row = [_zip((n + 1).astype("<i4").tobytes()), _zip(vocab.astype("<u8").tobytes()), _zip(stream.tobytes())]
+            row = [_zip((n + 1).astype("<i4").tobytes()), *pack_tokens(vocab, stream)]
             lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
             return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row]], ["chunk", "ids", "held", "sizes", "vocab", "stream"])
 
@@ -162,7 +192,8 @@ class Chunk:
 
     def __init__(self, row: dict, rule: Rule, shift: int):
         self.rule, self.number, self.shift = rule, row["chunk"], np.uint64(shift)
-        self.sizes, self.vocab, self.stream = (np.frombuffer(_unzip(row[k]), dtype=t) for k, t in (("sizes", "<i4"), ("vocab", "<u8"), ("stream", "<i4")))
+        self.sizes = np.frombuffer(_unzip(row["sizes"]), dtype="<i4")
+        self.vocab, self.stream = unpack_tokens(row["vocab"], row["stream"])
         self.held = np.array(row["held"], dtype=bool)
         self.ids = row["ids"]
         ends = np.cumsum(self.sizes)
@@ -240,10 +271,11 @@ class Chunk:
         return self._cut(self.keys[self.open[-1]])
 
 
-# What chunks send: sorted keys of one order for one bucket, and what goes with them; kind is the order, or STATES.
+# What chunks send: sorted keys of one order for one bucket, and what goes with them; kind is the order, and STATES more for
+# what makes its states.
 SENT = "kind int, bucket int, chunk long, keys binary, told binary"
 ANSWER = "kind int, bucket int, chunk long, told binary"
-STATES = 99
+STATES = 100
 TALLY = -1  # the chunk number of a bucket's own row: its distinct keys of a count above zero
 
 
@@ -254,6 +286,17 @@ def _dealt(kind: int, chunk: int, keys: np.ndarray, bits: int, shift: int, count
             yield kind, b, chunk, pack_sorted(keys[i:j], shift), _zip(_planes(counts[i:j]))
 
 
+def _asked(chunk: Chunk, speaks: np.ndarray, total: int, bits: int, shift: int) -> Iterator[tuple]:
+    """The contexts of a chunk's order, with what it adds to the sums of some of them: each is one that it asks for."""
+    keys = np.unique(chunk.contexts())
+    context, *rest = chunk.sums(np.flatnonzero(speaks), total)
+    ends_ = np.arange((1 << bits) + 1, dtype=np.uint64)
+    cut, own = (np.searchsorted(x >> np.uint64(64 - bits), ends_) for x in (keys, context))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        k, o = keys[cut[b] : cut[b + 1]], slice(own[b], own[b + 1])
+        yield STATES + chunk.order, b, chunk.number, pack_sorted(k, shift), _pack_sums(k, context[o], *[x[o] for x in rest])
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*[c.split() for c in schema.split(", ")], strict=True)
@@ -264,17 +307,21 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _add_up(table: pa.Table, rule: Rule) -> pa.Table:
     """A bucket's counts: each chunk is told the sums of its keys, and for which pairs, if frequent enough, it is to speak."""
     keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
-    counts = np.concatenate([_from_planes(_unzip(x.as_py()), len(k))[0] for x, k in zip(table.column("told"), keys, strict=True)])
-    _, first, number = distinct(np.concatenate(keys))
+    sizes = [len(k) for k in keys]
+    counts = np.concatenate([_narrow(_from_planes(_unzip(x.as_py()), n)[0]) for x, n in zip(table.column("told"), sizes, strict=True)])
+    whole = np.concatenate(keys)
+    del keys  # they and the counts are most of what a task holds
+    first, number = distinct(whole)[1:]
+    del whole
     sums = np.bincount(number, weights=counts, minlength=len(first)).astype(np.int64)  # exact below 2**53
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     speaks = np.zeros(len(number), dtype=bool)
     speaks[first] = (sums >= rule.least_next) & (kind > 0)
     rows, at = [(kind, bucket, TALLY, int((sums > 0).sum()).to_bytes(8, "little"))], 0
-    for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
-        mine = slice(at, at + len(k))
-        rows.append((kind, bucket, chunk, _zip(len(k).to_bytes(4, "little") + _planes(sums[number[mine]]) + np.packbits(speaks[mine]).tobytes())))
-        at += len(k)
+    for chunk, n in zip(table.column("chunk").to_pylist(), sizes, strict=True):
+        mine = slice(at, at + n)
+        rows.append((kind, bucket, chunk, _zip(n.to_bytes(4, "little") + _planes(sums[number[mine]]) + np.packbits(speaks[mine]).tobytes())))
+        at += n
     release()
     return pa.Table.from_batches([_rows(rows, ANSWER)])
 
@@ -333,6 +380,10 @@ def _decide(table: pa.Table, rule: Rule) -> pa.Table:
     return pa.Table.from_batches([_rows(rows, ANSWER)])
 
 
+def _answer(table: pa.Table, rule: Rule) -> pa.Table:
+    return (_decide if table.column("kind")[0].as_py() >= STATES else _add_up)(table, rule)
+
+
 def _told_states(raw: bytes) -> np.ndarray:
     """What :func:`_decide` tells, for each key: its state's sum of counts and number of pairs; a state has pairs."""
     data = _unzip(raw)
@@ -364,10 +415,11 @@ def _counts(told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _by_chunk(answers: DataFrame, kind: int, buckets: int) -> DataFrame:
-    """Answers of a kind, bucketed as the chunks are, so that they move once."""
+def _by_chunk(answers: DataFrame, kinds: list[int], buckets: int) -> DataFrame:
+    """Answers of some kinds, bucketed as the chunks are, so that they move once."""
     dealt = answers.where(F.col("chunk") != TALLY).repartition(buckets, "chunk")
-    kept = store_bucketed(dealt.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias(f"answers_{kind}")), "chunk", buckets, dealt=True)
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.struct("bucket", "told"))).alias(f"answers_{k}") for k in kinds]
+    kept = store_bucketed(dealt.groupBy("chunk").agg(*lists), "chunk", buckets, dealt=True)
     forget_shuffles(answers.sparkSession)
     return kept
 
@@ -388,62 +440,50 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
     bits = max(3, (n_chunks // 16).bit_length())  # some millions of keys a bucket
     shift = max(64 - max(bits + IN_BUCKET, IN_ALL), 0)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(np.frombuffer(_unzip(s.as_py()), dtype="<i4")[~np.array(h.as_py(), dtype=bool)].sum()) for b in batches for s, h in zip(b.column("sizes"), b.column("held"), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    total = chunks.select("sizes", "held").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def asks(step: int) -> list[int]:
+        """The orders whose states a step asks for: after words and first pairs, the second pairs are most of what moves."""
+        return [k for k in range(1, rule.depth + 1) if step == (k + 1 if k > 1 else rule.depth + 1)]
+
     def send(kind: int, known: list[DataFrame]) -> DataFrame:
+        """Answers to the pairs of an order, if there is one, and to the contexts of those that :func:`asks` tells."""
+        asked = asks(kind)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, answers in _opened(batch, rule, ends, shift):
-                    if kind == 0:
-                        yield _rows(list(_dealt(0, chunk.number, chunk.vocab, bits, 0, chunk.word_counts())), SENT)
-                        del chunk, answers
-                        continue
+                    rows = []
                     for order in range(1, kind):
                         chunk.grow()
-                        chunk.learn_pairs(_counts(answers.get(order, []))[0])
-                    chunk.grow()
-                    yield _rows(list(_dealt(kind, chunk.number, chunk.pairs, bits, shift, chunk.pair_counts())), SENT)
-                    del chunk, answers
+                        counts, speaks = _counts(answers.get(order, []))
+                        chunk.learn_pairs(counts)
+                        if order in asked:
+                            rows += _asked(chunk, speaks, total, bits, shift)
+                    if kind == 0:
+                        rows += _dealt(0, chunk.number, chunk.vocab, bits, 0, chunk.word_counts())
+                    elif kind <= rule.depth:
+                        chunk.grow()
+                        rows += _dealt(kind, chunk.number, chunk.pairs, bits, shift, chunk.pair_counts())
+                    yield _rows(rows, SENT)
+                    del chunk, answers, rows
 
         sent = _with(chunks, known).mapInArrow(run, SENT)
-        return sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t, rule), ANSWER)
+        return sent.groupBy("kind", "bucket").applyInArrow(lambda t: _answer(t, rule), ANSWER)
 
     first = store(send(0, []), "none")
     vocabulary = sum(int.from_bytes(r["told"], "little") for r in first.where(F.col("chunk") == TALLY).select("told").collect())  # a row a bucket
-    answers = [_by_chunk(first, 0, buckets)]
+    answers = [_by_chunk(first, [0], buckets)]
+    discard(first)
     distinct_tokens = vocabulary + (1 if ends else 0)
+    for step in range(1, rule.depth + 2):
+        kinds = [step] * (step <= rule.depth) + [STATES + k for k in asks(step)]
+        answers.append(_by_chunk(send(step, answers), kinds, buckets))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(np.frombuffer(_unzip(s.as_py()), dtype="<i4")[~np.array(h.as_py(), dtype=bool)].sum()) for b in batches for s, h in zip(b.column("sizes"), b.column("held"), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    total = chunks.select("sizes", "held").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    for order in range(1, rule.depth + 1):
-        answers.append(_by_chunk(send(order, answers), order, buckets))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, known in _opened(batch, rule, ends, shift):
-                asked, sums = [], []
-                for order in range(1, rule.depth + 1):
-                    chunk.grow()
-                    counts, speaks = _counts(known.get(order, []))
-                    chunk.learn_pairs(counts)
-                    asked.append(chunk.contexts())
-                    sums.append(chunk.sums(np.flatnonzero(speaks), total))
-                keys = np.unique(np.concatenate(asked))
-                context, *rest = (np.concatenate(x) for x in zip(*sums, strict=True))
-                order_ = np.argsort(context)
-                context, rest = context[order_], [x[order_] for x in rest]
-                ends_ = np.arange((1 << bits) + 1, dtype=np.uint64)
-                cut, own = (np.searchsorted(x >> np.uint64(64 - bits), ends_) for x in (keys, context))
-                rows = []
-                for b in np.flatnonzero(np.diff(cut)).tolist():  # a context that a chunk adds to is one that it asks for
-                    k, o = keys[cut[b] : cut[b + 1]], slice(own[b], own[b + 1])
-                    rows.append((STATES, b, chunk.number, pack_sorted(k, shift), _pack_sums(k, context[o], *[x[o] for x in rest])))
-                del chunk, known, asked, sums, keys, context, rest
-                yield _rows(rows, SENT)
-
-    asked = _with(chunks, answers).mapInArrow(ask, SENT)
-    answers.append(_by_chunk(asked.groupBy("bucket").applyInArrow(lambda t: _decide(t, rule), ANSWER), STATES, buckets))
     scale = total + ALPHA * (distinct_tokens + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,29 +492,23 @@ def scores(docs: DataFrame, folds: int = 10, rule: Rule = Rule(), chunk_bytes: i
                 starts = np.cumsum(chunk.sizes) - chunk.sizes
                 p = (chunk.count[0] + ALPHA) / scale
                 base, found = np.add.reduceat(np.log10(p), starts), np.add.reduceat((chunk.count[0] > 0).astype(np.int64), starts)
-                told = [_told_states(x) for x in known.get(STATES, [])]
-                if told:
-                    p = _from_states(chunk, known, np.concatenate(told, axis=1), p)
+                p = _from_states(chunk, known, p)
                 scored = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes.astype(np.int64)), pa.array(found), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))]
-                del chunk, known, told, p
+                del chunk, known, p
                 yield pa.RecordBatch.from_arrays(scored, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _with(chunks, answers).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _from_states(chunk: Chunk, known: dict[int, list[bytes]], states: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _from_states(chunk: Chunk, known: dict[int, list[bytes]], p: np.ndarray) -> np.ndarray:
     """Each token's probability by its longest suffix state, shorter ones taking what it leaves; p: the root's."""
-    asked, rule = [], chunk.rule
+    rule = chunk.rule
     for order in range(1, rule.depth + 1):
         chunk.grow()
         chunk.learn_pairs(_counts(known.get(order, []))[0])
-        asked.append(chunk.contexts())
-    number = distinct(np.concatenate(asked))[2]
-    at = 0
-    for order in range(1, rule.depth + 1):
-        here = np.flatnonzero(chunk.open[order - 1])
-        kept, pairs = states[:, number[at : at + len(here)]]
-        at += len(here)
+        told = [np.zeros((2, 0), dtype=np.int64), *[_told_states(x) for x in known.get(STATES + order, [])]]
+        kept, pairs = np.concatenate(told, axis=1)[:, distinct(chunk.contexts())[2]]
+        here = np.flatnonzero(chunk.open[-1])
         here, kept, pairs = here[pairs > 0], kept[pairs > 0], pairs[pairs > 0]
         c, total = chunk.count[order][here], chunk.total[order - 1][here]
         own = np.where(c >= rule.least_next, (c - rule.discount) / total, 0)

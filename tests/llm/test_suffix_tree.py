@@ -126,6 +126,31 @@ def test_keys_travel_whole():
     assert np.array_equal(found[number], keys) and np.array_equal(keys[first], found)
 
 
+def test_tokens_travel_whole_and_small():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        vocab = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        stream = np.append(rng.permutation(n), n).astype("<i4")[np.minimum(rng.zipf(1.3, 50_000) - 1, n)]
+        packed = suffix_tree.pack_tokens(vocab, stream)
+        words_, numbers = suffix_tree.unpack_tokens(*packed)
+        assert np.array_equal(words_, vocab) and np.array_equal(numbers, stream)
+        if n == 3000:
+            assert sum(map(len, packed)) < 0.9 * len(suffix_tree._zip(vocab.tobytes()) + suffix_tree._zip(stream.tobytes()))
+
+
+def test_no_step_moves_the_contexts_of_all_orders(spark, monkeypatch):
+    steps, by_chunk = [], suffix_tree._by_chunk
+
+    def seen(answers, kinds, buckets):
+        steps.append({r["kind"] for r in answers.select("kind").distinct().collect()})
+        return by_chunk(answers, kinds, buckets)
+
+    monkeypatch.setattr(suffix_tree, "_by_chunk", seen)
+    suffix_tree.scores(spark.createDataFrame(corpus(), fx.COLUMNS), rule=Rule(divergence=0.5))
+    states = [{k - suffix_tree.STATES for k in kinds if k >= suffix_tree.STATES} for kinds in steps]
+    assert states == [set(), set(), set(), {2}, {3}, {1, 4}]
+
+
 def test_nulls_and_empty(spark):
     rows = [(None, "a b c a b c", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 1)]
     got = suffix_tree.scores(spark.createDataFrame(rows, fx.COLUMNS).selectExpr("*", "1 as h", "2 as other", "3 as train")).collect()
