@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.operators.joins import asof_join, interval_join
+from brindle.operators.joins import asof_join, dominance_join, interval_join
 from brindle.operators.log import numbered
 
 from .base import Entry, frame, sql
@@ -24,6 +24,12 @@ def _interval(events):
     return interval_join(a, b, a["user_id"] == b["u"], point="c_ts", low=F.col("p_ts") - F.expr("INTERVAL 1 HOUR"), high=F.col("p_ts"), width_seconds=3600).select("purchase_id", "click_id")
 
 
+def _theta_range(part):
+    a = part.select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    b = part.select(F.col("p_partkey").alias("other"), "p_brand", F.col("p_size").alias("other_size"), (F.col("p_retailprice") + 800).alias("above"))
+    return dominance_join(a, b, on="p_brand", less=("p_size", "other_size"), more=("p_retailprice", "above")).select("p_partkey", "other")
+
+
 def _sort_nulls(orders):
     rows = orders.select("o_orderkey", F.expr("NULLIF(o_orderpriority, '2-HIGH')").alias("k"))
     up = numbered(rows, [F.col("k").asc_nulls_last(), "o_orderkey"], "up", 1)
@@ -66,7 +72,7 @@ ENTRIES: dict[str, Entry] = {
     "join_semi": sql("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey"),
     "join_anti": sql("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000"),
     "join_right_semi": frame(lambda o, c: c.join(o, o["o_custkey"] == c["c_custkey"], "left_semi").select("c_custkey", "c_name"), "orders", "customer", oracle="SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
-    "join_theta_range": sql("SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_retailprice > b.p_retailprice + 800"),
+    "join_theta_range": frame(_theta_range, "part", oracle="SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_retailprice > b.p_retailprice + 800"),
     "join_using": sql("SELECT k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) a JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY s_nationkey) b USING (k)"),
     "join_natural": sql("SELECT * FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n NATURAL JOIN region"),
     "join_lateral": sql("SELECT c_custkey, top_price FROM customer, LATERAL (SELECT MAX(o_totalprice) AS top_price FROM orders WHERE o_custkey = c_custkey) t"),

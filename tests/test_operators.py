@@ -1,6 +1,8 @@
 """Keyed tables, logs, joins in time, rendering and streams."""
 
 import math
+import random
+import threading
 import zlib
 
 import pytest
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 
 from brindle.functions.compat import call
 from brindle.operators import keyed as kv
-from brindle.operators import log
+from brindle.operators import joins, log
 from brindle.operators.joins import asof_join
 from brindle.plans import render
+from brindle.queries import entries
 from brindle.streaming import tail as st
 
 
@@ -106,6 +109,44 @@ def test_asof_takes_the_last_at_or_before(spark, bin_width):
     assert [r["v"] for r in sorted(asof_join(later, right, "k", "t", "at", ["v"], bin_width=bin_width).collect())] == ["a", "b", "b", "b", "b", "b"]
 
 
+@pytest.mark.parametrize("n, broadcast", [(0, 100_000), (1, 100_000), (300, 100_000), (300, -1)])
+def test_two_inequalities_against_every_pair(spark, monkeypatch, n, broadcast):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    draw = random.Random(n)
+    values = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, 1.5, 2.5, 1e308, *[draw.uniform(-9, 9) for _ in range(40)]]
+    rows = lambda: [(draw.choice(["a", "a", "b", "", None]), i, draw.choice([None, -(2**31), 2**31 - 1, *range(9)]), draw.choice(values)) for i in range(n)]
+    a, b = rows(), rows()
+    left, right = spark.createDataFrame(a, "k string, i int, x int, y double"), spark.createDataFrame(b, "k string, j int, u int, v double")
+    above = lambda y, v: not math.isnan(v) if math.isnan(y) else y > v  # noqa: E731  a NaN is above all else
+    want = [(k, i, x, j) for k, i, x, y in a for q, j, u, v in b if None not in (k, x, y, q, u, v) and k == q and x < u and above(y, v)]
+    got = joins.dominance_join(left, right, "k", less=("x", "u"), more=("y", "v"))
+    assert got.columns == ["k", "i", "x", "y", "j", "u", "v"]
+    assert sorted((r["k"], r["i"], r["x"], r["j"]) for r in got.collect()) == sorted(want)
+
+
+def test_two_inequalities_that_hold_for_no_pair_at_once(spark):
+    left, right = spark.createDataFrame([("a", 0, 0.0), ("a", 5, 9.0), ("a", 2, 4.0)], "k string, x int, y double"), spark.createDataFrame([("a", 3, 4.0), ("a", 1, 2.0)], "k string, u int, v double")
+    assert joins.dominance_join(left, right, "k", less=("x", "u"), more=("y", "v")).collect() == []
+
+
+def test_two_inequalities_make_no_pair_that_fails_one(spark, tmp_path):
+    """One brand with 8e10 pairs by size, of which 799,997 hold; made one by one they take many minutes, so jobs end after two."""
+    n = 400_000
+    price = F.when(F.col("id") == 0, 50.0).when(F.col("id") == n - 1, 5000.0).otherwise(900 + F.col("id") % 1000 / 10)
+    size = F.when(F.col("id") == 0, 50).when(F.col("id") == n - 1, 0).otherwise(F.col("id") % 48 + 1)
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), size.cast("int").alias("p_size"), price.alias("p_retailprice"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    clock = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    clock.start()
+    try:
+        got = entries()["join_theta_range"].run(spark, str(tmp_path))
+        pairs = got.agg(F.count(F.lit(1)), F.count_if(F.col("other") == 0), F.count_if(F.col("p_partkey") == n - 1), F.countDistinct("p_partkey", "other")).first()
+    finally:
+        clock.cancel()
+    # the cheap part goes with all others, as the dear one does
+    assert tuple(pairs) == (2 * n - 3, n - 1, n - 1, 2 * n - 3)
+
+
 @pytest.mark.parametrize(("value", "want"), [(1.0, "1"), (1e20, "100000000000000000000"), (0.1, "0.1"), (1e-7, "0.0000001"), (math.nan, "NaN"), (-math.inf, "-inf"), (True, "t"), (None, None), ([1, None], "{1,NULL}"), (b"\x01", "\\x01")])
 def test_text(value, want):
     assert render.value_text(value) == want
